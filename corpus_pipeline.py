@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from oredock.llm import line_dedup, mixing, simhash
+from oredock.llm import line_dedup, mixing, packing, quality_model, simhash
 from oredock.llm.common import materialize, read
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labelled ones among docs."""
+    return quality_model.accepted(docs, read(spark, sf_dir, "labels"))
+
+
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; n_chars is that of the text that is left."""
     return line_dedup.clean(docs)
@@ -23,7 +28,12 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*docs.columns)
 
 
-STAGES = [("line_dedup", lines_stage), ("simhash", near_stage), ("mixing", mix_stage)]
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece, with its ids and its place."""
+    return packing.pack(docs, *packing.public_tokens())
+
+
+STAGES = [("quality", quality_stage), ("line_dedup", lines_stage), ("simhash", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
 #: Fitted and iterative stages have no SQL; tests check each stage against a plain version.
 ORACLE_SQL = None
 
