@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from oredock.llm.common import LOWER, held_out, read, small_batches, text_of
 
-BLOCK, MU = 8 << 20, 80.0
+BLOCK, MU = 5 << 20, 80.0
 SENT = "shard int, kind int, block long, keys binary, counts binary"
 ANSWERED = "block long, shard int, kind int, counts binary, tokens long, words long"
 START_KEY, END_KEY = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -61,6 +61,15 @@ class Block:
         return words.astype(np.int64), np.bincount(self.at, weights=weight, minlength=len(self.pairs)).astype(np.int64)
 
 
+def _to_planes(counts: np.ndarray) -> bytes:
+    """Counts byte by byte, lowest bytes first: most are small, so the shuffle compresses the rest away."""
+    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's range begins in the sorted keys."""
     edges = np.array([(i << 64) // shards for i in range(shards)], dtype=np.uint64)
@@ -84,26 +93,26 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: float = MU) -> D
         own = Block(texts)
         out: dict[str, list] = {"shard": [], "kind": [], "keys": [], "counts": []}
         for kind, keys, order, counts in ((1, own.word_keys, own.word_order, own.counted(trains)[0]), (2, own.pair_keys, own.pair_order, own.counted(trains)[1])):
-            keys, counts = keys[order], counts[order].astype(np.uint32)
+            keys, counts = keys[order], counts[order]
             bounds = _bounds(keys, blocks)
             for i in np.nonzero(np.diff(bounds))[0].tolist():
                 out["shard"].append(i)
                 out["kind"].append(kind)
                 out["keys"].append(keys[bounds[i] : bounds[i + 1]].tobytes())
-                out["counts"].append(counts[bounds[i] : bounds[i + 1]].tobytes())
+                out["counts"].append(_to_planes(counts[bounds[i] : bounds[i + 1]]))
         n = len(out["shard"])
         return pa.table({"shard": pa.array(out["shard"], pa.int32()), "kind": pa.array(out["kind"], pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * n, pa.int64()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary())})
 
     def answered(table: pa.Table) -> pa.Table:
         shard, kind = table.column("shard")[0].as_py(), table.column("kind")[0].as_py()
         parts = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in table.column("counts").to_pylist()])
+        counts = np.concatenate([_from_planes(c) for c in table.column("counts").to_pylist()])
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         sums = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-        reply = np.split(np.minimum(sums[at], 0xFFFFFFFF).astype(np.uint32), np.cumsum([len(p) for p in parts])[:-1])
+        reply = np.split(np.minimum(sums[at], 0xFFFFFFFF), np.cumsum([len(p) for p in parts])[:-1])
         real = sums[keys != np.uint64(START_KEY)] if kind == 1 else sums[:0]
         n = len(parts)
-        return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "kind": pa.array([kind] * n + [0], pa.int32()), "counts": pa.array([r.tobytes() for r in reply] + [b""], pa.binary()), "tokens": pa.array([0] * n + [int(real.sum())], pa.int64()), "words": pa.array([0] * n + [int((real > 0).sum())], pa.int64())})
+        return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "kind": pa.array([kind] * n + [0], pa.int32()), "counts": pa.array([_to_planes(r) for r in reply] + [b""], pa.binary()), "tokens": pa.array([0] * n + [int(real.sum())], pa.int64()), "words": pa.array([0] * n + [int((real > 0).sum())], pa.int64())})
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         texts, trains = _inputs(left)
@@ -112,8 +121,8 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: float = MU) -> D
         kinds = right.column("kind").to_pylist()
         blobs = right.column("counts").to_pylist()
         words, pairs = np.zeros(own.width, np.int64), np.zeros(len(own.pairs), np.int64)
-        words[own.word_order] = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds) if k == 1), np.uint32)
-        pairs[own.pair_order] = np.frombuffer(b"".join(b for b, k in zip(blobs, kinds) if k == 2), np.uint32)
+        words[own.word_order] = np.concatenate([_from_planes(b) for b, k in zip(blobs, kinds) if k == 1])
+        pairs[own.pair_order] = np.concatenate([_from_planes(b) for b, k in zip(blobs, kinds) if k == 2])
         tokens, distinct = right.column("all_tokens")[0].as_py() or 0, right.column("all_words")[0].as_py() or 0
         root_p = (words + 1) / (tokens + distinct + 1)
         seen = pairs > 0
