@@ -10,6 +10,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the header of every gzip member that is written (no name, no time, unknown system).
 GZIP_HEADER = bytes.fromhex("1f8b08000000000000ff")
@@ -93,7 +94,7 @@ def decode(codec: str, data: Column) -> Column:
     return _column(DECODERS[codec])(data)
 
 
-@F.arrow_udf("array<long>")
+@F.arrow_udf(T.ArrayType(T.LongType()))
 def member_starts(values: pa.Array) -> pa.Array:
     """Where a gzip member with our own header may start."""
     out = []

@@ -7,6 +7,7 @@ import heapq
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # First length of each length symbol from 257 on, and its extra bits.
 LENGTH_BASE = [3, 4, 5, 6, 7, 8, 9, 10, 11, 13, 15, 17, 19, 23, 27, 31, 35, 43, 51, 59, 67, 83, 99, 115, 131, 163, 195, 227, 258]
@@ -84,7 +85,7 @@ def huffman(freq: list[int], limit: int = 15) -> list[int]:
         weights = {s: max(1, w // 2) for s, w in weights.items()}
 
 
-@F.arrow_udf("array<int>")
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
 def huffman_lengths(freqs: pa.Array) -> pa.Array:
     """Code lengths of dense frequency arrays: the merges of one alphabet, at most a few hundred symbols."""
     return pa.array([huffman(f) for f in freqs.to_pylist()], pa.list_(pa.int32()))

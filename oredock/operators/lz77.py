@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oredock.operators import entropy
 
@@ -59,12 +60,12 @@ def tokenize(raw: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
     return out
 
 
-@F.arrow_udf("array<struct<length:int,distance:int>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("distance", T.IntegerType())])))
 def tokens_of(values: pa.Array) -> pa.Array:
     return pa.array([[{"length": n, "distance": d} for n, d in tokenize(v)] for v in values.to_pylist()], pa.list_(pa.struct([("length", pa.int32()), ("distance", pa.int32())])))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def replay(tokens: pa.Array) -> pa.Array:
     """The bytes that tokens stand for; copies may overlap themselves."""
     out = []
