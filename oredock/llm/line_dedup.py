@@ -168,5 +168,7 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of docs with cleaned text; n_chars, if there is one, is the cleaned text's length."""
-    done = dedup_lines(docs, min_docs, min_chars)
-    return done.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    others = [c for c in docs.columns if c != "text"]
+    done = dedup_lines(docs.select(F.struct(*others).alias("row"), "text"), min_docs, min_chars)
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oredock.llm.common import materialize, read, small_batches, text_of
 
@@ -243,7 +244,7 @@ def public_tokens() -> tuple[str, str, dict[str, int]]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {SPECIAL: 50256}
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def crc_of(ids: pa.Array) -> pa.Array:
     return pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids], pa.int64())
 

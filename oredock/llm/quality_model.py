@@ -27,6 +27,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oredock.llm.common import held_out, materialize, read, small_batches, text_of
 
@@ -52,7 +53,7 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-@F.arrow_udf(", ".join(f"{s} double" for s in STATS))
+@F.arrow_udf(T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))
 def statistics_of(texts: pa.Array) -> pa.Array:
     table = np.array([statistics(t) for t in texts.cast(pa.binary()).to_pylist()], dtype=float).reshape(-1, len(STATS))
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in table.T], STATS)

@@ -31,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oredock.llm.common import LOWER, materialize, read, small_batches, text_of
 
@@ -63,7 +64,7 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(T.LongType())
 def fingerprint_of(texts: pa.Array) -> pa.Array:
     return pa.array([fingerprint(shingle_hashes(t)) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
@@ -232,5 +233,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The columns of docs; of each component the row with the smallest doc_id stays (its repeats are the same document)."""
-    found = near_groups(docs, radius)
-    return found.filter(F.col("doc_id").eqNullSafe(F.col("__component"))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = near_groups(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), radius)
+    one = found.filter(F.col("doc_id").eqNullSafe(F.col("__component")))
+    return one.select(*[F.col("row")[c].alias(c) if c in others else c for c in docs.columns])
