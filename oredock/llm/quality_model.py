@@ -95,8 +95,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = T
     code = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     marks = materialize(marks.withColumn("code", code))
     share = min(1.0, sample / max(1, marks.count()))
-    chosen = marks.filter(F.col("code") < int(share * (1 << 30)))
-    rows = docs.select("doc_id", text_of().alias("text")).join(chosen, "doc_id").select("label", statistics_of("text").alias("s")).select("label", "s.*")
+    limit = int(share * (1 << 30))
+    chosen = marks.filter(F.col("code") < limit).select("doc_id", "label")
+    # the sample bounds the broadcast, so whole texts aren't shuffled
+    rows = docs.filter(code < limit).select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", statistics_of("text").alias("s")).select("label", "s.*")
     rows = materialize(VectorAssembler(inputCols=STATS, outputCol="features").transform(rows).select("label", *STATS, "features"))
     n, ones = rows.agg(F.count("label"), F.sum("label")).first()
     if not n or ones in (0, n):
