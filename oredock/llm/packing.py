@@ -10,6 +10,9 @@ of piece lengths (at most `size` numbers, whatever the input) goes to the driver
 * the rest is packed best-fit decreasing: bins of equal room form classes, and a run of equal lengths
   goes to the class with the least room that fits.
 
+A piece that fills a sequence dominates whatever else could fill it: it stays where it is, gets a
+sequence of its own (numbers below 0) and takes no part in what follows, so it isn't shuffled.
+
 The plan says, for each length and range of ranks, where these pieces go. Ranks are numbered within
 (length, slice of a hash of the id), so neither a frequent length nor a long document is one task's;
 the slices' sizes are at most size * SLICES numbers.
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 
 from oredock.llm.common import materialize, read, small_batches, text_of
 
-SIZE, END, SLICES, CACHE = 1024, 2, 256, 300_000
+SIZE, END, SLICES, CACHE, LONGEST = 1024, 2, 256, 300_000, 64
 SPECIAL = "<|endoftext|>"
 
 
@@ -53,12 +56,12 @@ class Tokens:
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
-        self.limit, outer = limit, self
+        self.limit, self.special, outer = limit, tuple(special), self
 
         class Known(dict):
             def __missing__(self, piece: str) -> bytes:
                 ids = outer._encode(" " + piece)
-                if len(self) < outer.limit:
+                if len(self) < outer.limit and len(piece) <= LONGEST:
                     self[piece] = ids
                 return ids
 
@@ -68,6 +71,8 @@ class Tokens:
         return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(s in text for s in self.special):  # blanks before a special token are one run
+            return self._encode(text)
         if self.blank.search(text):
             pieces = self._pieces(text)
         else:
@@ -219,6 +224,8 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], siz
     """One row per piece: doc_id, piece, start, length, ids, sequence_id and offset."""
     small_batches(docs.sparkSession)
     pieces = materialize(tokenized(docs, ranks, pattern, special, size, end)).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
+    full = pieces.filter(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    pieces = pieces.filter(F.col("length") < size)
     counted = pieces.groupBy("length", "slice").count().toPandas()  # at most size * SLICES rows
     grid = np.zeros((size + 1, SLICES), dtype=np.int64)
     grid[counted["length"].to_numpy(np.int64), counted["slice"].to_numpy(np.int64)] = counted["count"].to_numpy(np.int64)
@@ -234,7 +241,7 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], siz
 
     own = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
     placed = pieces.withColumn("number", F.row_number().over(own)).withColumn("place", place("length", "slice", "number"))
-    return placed.select("doc_id", "piece", "start", "length", "ids", "place.sequence_id", "place.offset")
+    return placed.select("doc_id", "piece", "start", "length", "ids", "place.sequence_id", "place.offset").unionByName(full)
 
 
 def public_tokens() -> tuple[str, str, dict[str, int]]:

@@ -55,6 +55,13 @@ def test_exact_dedup_names_frequent_values(spark):
     assert sizes == {i: 133 if i % 3 else 1 for i in range(200)} or sizes[1] == sum(1 for i in range(200) if i % 3)
 
 
+def test_exact_dedup_of_large_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HEAVY", 2)
+    docs = spark.createDataFrame([(i, f"text {i % 7} " * (9 if i % 7 < 4 else 1)) for i in range(90)], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, 8).collect()}
+    assert got == {i: (i % 7, 13 if i % 7 < 6 else 12, i < 7) for i in range(90)}
+
+
 def test_line_index():
     rng = np.random.default_rng(1)
     high, lo = (rng.integers(-(2**62), 2**62, 5000) for _ in range(2))
@@ -141,12 +148,16 @@ def test_simhash_links(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
-def test_packing(odd, none):
+SPACED = ["x  <|endoftext|> y\n <|endoftext|>  z", "a \n  b\t c  ", " ", "x\u00a0 \u2003y", "long" * 2000 + " end"]
+
+
+def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    odd = odd.select("doc_id", "text").union(spark.createDataFrame([(900 + i, t) for i, t in enumerate(SPACED)], "doc_id long, text string"))
     want = Counter()
     for i, t in texts(odd):
         ids = encoder.encode(t, add_special_tokens=False).ids + [2]
