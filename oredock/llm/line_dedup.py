@@ -5,12 +5,13 @@
    perfect hash, fingerprints and counts become one row of a table in the shared folder.
 3. Documents ask the shards: a task packs the hashes of its lines by shard. Index and packed requests
    are sorted by shard, so a task holds one shard's arrays at a time and streams requests past them.
-   Lines found often enough come back as (text hash, line hash).
+   Lines found often enough come back as (row hash, line hash).
 4. Documents drop the lines that came back.
 
 Every line of every document is in the index, so a probe's answer is exact. The most frequent lines
 to be dropped (HOT at most, found with a top-k) go to all tasks by value and are not asked for again;
-any other line is asked for by less than 1 / HOT of all lines' rows, so no shard is hot.
+any other line is asked for by less than 1 / HOT of all lines' rows, so no shard is hot. What comes back
+is joined by a hash of id and text, so copies of one text don't share a key.
 
 Defined cases: a null or empty text is one empty line; a line whose key is shorter than min_chars
 stays; repeated rows count as documents of their own; null ids are kept; other columns ride along,
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oredock.llm.common import LOWER, WHITE_BYTES, materialize, read, small_batches, text_of
@@ -50,6 +51,11 @@ def _split(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of id, if there is one, and text. Rows that share it have the same lines."""
+    return F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], text_of())
+
+
 def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """line (its hash) and docs, the number of documents that have it."""
 
@@ -81,7 +87,7 @@ def build_index(counts: DataFrame, shards: int) -> DataFrame:
 
 
 def find_frequent(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, hot: set[bytes]) -> DataFrame:
-    """key (of the text) and frequent, the hashes of its lines that the index counts often enough, hot ones left out."""
+    """key (of the row) and frequent, the hashes of its lines that the index counts often enough, hot ones left out."""
 
     def packed(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
         digests, keys = [x[0] for x in rows], np.array([x[1] for x in rows], np.int64)
@@ -118,7 +124,7 @@ def find_frequent(docs: DataFrame, index: DataFrame, shards: int, min_docs: int,
                 lines = np.stack([high[hit], low[hit]], axis=1)
                 yield pa.RecordBatch.from_pydict({"key": pa.array(keys[hit], pa.int64()), "line": pa.array([r.tobytes() for r in lines], pa.binary())})
 
-    requests = docs.select(F.xxhash64(text_of()).alias("key"), text_of().alias("text")).mapInArrow(asked, PACKED)
+    requests = docs.select(row_key(docs).alias("key"), text_of().alias("text")).mapInArrow(asked, PACKED)
     found = index.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(probed, "key long, line binary")
     return found.groupBy("key").agg(F.collect_set("line").alias("frequent"))
 
@@ -145,7 +151,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
             n_dropped.append(len(parts) - len(stay))
         return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
 
-    plain = docs.drop("n_lines", "n_dropped", "__key").withColumn("__key", F.xxhash64(text_of()))
+    plain = docs.drop("n_lines", "n_dropped", "__key").withColumn("__key", row_key(docs))
     joined = plain.join(frequent.select(F.col("key").alias("__key"), F.col("frequent").alias("__frequent")), "__key", "left")
     done = joined.withColumn("__kept", kept(text_of(), F.coalesce("__frequent", F.array().cast("array<binary>"))))
     columns = [F.col("__kept.text").alias("text") if c == "text" else F.col(c) for c in plain.columns if c != "__key"]
@@ -168,7 +174,8 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of docs with cleaned text; n_chars, if there is one, is the cleaned text's length."""
-    others = [c for c in docs.columns if c != "text"]
-    done = dedup_lines(docs.select(F.struct(*others).alias("row"), "text"), min_docs, min_chars)
-    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return done.select(*[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    own_id = [c for c in docs.columns if c == "doc_id"]
+    done = dedup_lines(docs.select(*own_id, F.struct(F.lit(0).alias("_"), *others).alias("row"), "text"), min_docs, min_chars)
+    own = {**{c: F.col(c) for c in own_id}, "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
