@@ -214,8 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The columns of docs, __fp and __root: the smallest fingerprint of the document's component."""
+def grouped(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """docs with __fp; and for each __fp its __root, the component's smallest, and __component, the smallest id there."""
     small_batches(docs.sparkSession)
     marked = docs.withColumn("__fp", fingerprint_of(text_of()))
     prints = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first_id")))
@@ -223,6 +223,12 @@ def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     first = named.groupBy("root").agg(F.min("first_id").alias("__component"))
     table = materialize(named.join(first, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__component"))
+    return marked, table
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The columns of docs, __fp, __root and __component."""
+    marked, table = grouped(docs, radius)
     return marked.join(table, "__fp")
 
 
@@ -234,6 +240,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The columns of docs; of each component the row with the smallest doc_id stays (its repeats are the same document)."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = near_groups(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), radius)
-    one = found.filter(F.col("doc_id").eqNullSafe(F.col("__component")))
+    marked, table = grouped(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), radius)
+    # joined by fingerprint and id at once: copies share a fingerprint, but no key
+    one = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]), "left_semi")
     return one.select(*[F.col("row")[c].alias(c) if c in others else c for c in docs.columns])
