@@ -7,6 +7,7 @@ has a single name. No hash decides equality: hashes only choose where a block is
 Skew: of the values to be named, the HEAVY most frequent ones (a bounded list of hashes, counted
 with partial aggregation) are named once and joined back by a broadcast of at most that many
 distinct values; any other value has at most 1 / HEAVY of the rows, so the sorting buckets are even.
+Likewise the HEAVY largest groups are joined back to their documents by a broadcast, the others by name.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; null ids are kept
 and lose ties; repeated rows count one by one, and one of them stays; other columns are ignored.
@@ -68,8 +69,12 @@ def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (see the module's text)."""
     named = identities(docs, block)
     best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
-    groups = named.groupBy("n_blocks", "name").agg(best.alias("best"), F.sum("copies").alias("group_size"))
-    rows = named.join(groups, ["n_blocks", "name"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    groups = materialize(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.sum("copies").alias("group_size")))
+    large = groups.orderBy(F.desc("group_size"), "n_blocks", "name").limit(HEAVY)  # bounds the broadcast
+    marked = named.join(F.broadcast(large.select("n_blocks", "name", F.col("best").alias("large"), F.col("group_size").alias("size"))), ["n_blocks", "name"], "left")
+    held = marked.filter("size IS NOT NULL").withColumnsRenamed({"large": "best", "size": "group_size"})
+    other = marked.filter("size IS NULL").drop("large", "size").join(groups, ["n_blocks", "name"])
+    rows = held.unionByName(other).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     is_best = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.less")) & (F.col("text_hash") == F.col("best.hash"))
     return rows.select("doc_id", F.col("best.id").alias("keep_id"), F.col("group_size").cast("long"), (is_best & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
