@@ -5,9 +5,9 @@ case) and hashed, are counted per host (the source): the distinct texts that hav
 copies of a document count once. A line in more than max(MOST, SHARE of the host's distinct texts)
 of them is removed, and a document that keeps less than LEAST of its words is depleted.
 
-Skew: lines are counted by (host, line) after partial aggregation; the join that finds removed lines
-and the one that returns their words to the documents are plain equi-joins without aggregation on the
-same keys above them, so adaptive execution can split a hot key.
+Skew: lines are counted by (host, line) after partial aggregation. The removed lines, and the words that
+each text loses, are written to the shared folder before they are joined back: with no aggregation between
+shuffle and join, adaptive execution can split a hot line or a hot group of copies.
 
 Defined cases: a null text has no words and fails; a null source is a host of its own; repeated rows and
 copies get the same verdict; null ids are kept; other columns are ignored.
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oredock.llm.common import WHITE_CLASS, read, text_of
+from oredock.llm.common import WHITE_CLASS, materialize, read, text_of
 
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 MOST, SHARE, LEAST = 50, 0.05, 0.4
@@ -57,13 +57,13 @@ def removed_words(docs: DataFrame, most: int = MOST, share: float = SHARE) -> Da
     lines = rows.select("host", F.xxhash64("text").alias("text_hash"), F.posexplode(found).alias("at", "s")).select("host", "text_hash", "at", "s.line", "s.words").distinct()
     texts = rows.select("host", F.xxhash64("text").alias("text_hash")).distinct().groupBy("host").agg(F.greatest(F.lit(float(most)), share * F.count("*")).alias("most"))
     used = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > most)
-    frequent = used.join(texts, "host").filter(F.col("texts") > F.col("most")).select("host", "line")
+    frequent = materialize(used.join(texts, "host").filter(F.col("texts") > F.col("most")).select("host", "line"))
     return lines.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))
 
 
 def judge(docs: DataFrame, most: int = MOST, share: float = SHARE, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, removed words and kept."""
-    gone = removed_words(docs, most, share)
+    gone = materialize(removed_words(docs, most, share))
     rows = text_rules(docs).join(gone, ["host", "text_hash"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(least) * F.col("n_words")
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "text_hash", "removed")
