@@ -62,12 +62,16 @@ class Block:
 
 
 def _to_planes(counts: np.ndarray) -> bytes:
-    """Counts byte by byte, lowest bytes first: most are small, so the shuffle compresses the rest away."""
-    return np.ascontiguousarray(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Counts byte by byte, lowest bytes first, as many as the largest needs; their number comes first."""
+    wide = max(1, -(-int(counts.max(initial=0)).bit_length() // 8))
+    return bytes([wide]) + counts.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T.tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    planes = np.frombuffer(data, np.uint8)[1:].reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : data[0]] = planes.T
+    return whole.view("<i8").ravel()
 
 
 def _bounds(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -109,7 +113,7 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: float = MU) -> D
         counts = np.concatenate([_from_planes(c) for c in table.column("counts").to_pylist()])
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
         sums = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
-        reply = np.split(np.minimum(sums[at], 0xFFFFFFFF), np.cumsum([len(p) for p in parts])[:-1])
+        reply = np.split(sums[at], np.cumsum([len(p) for p in parts])[:-1])
         real = sums[keys != np.uint64(START_KEY)] if kind == 1 else sums[:0]
         n = len(parts)
         return pa.table({"block": pa.array([*table.column("block").to_pylist(), -1], pa.int64()), "shard": pa.array([shard] * (n + 1), pa.int32()), "kind": pa.array([kind] * n + [0], pa.int32()), "counts": pa.array([_to_planes(r) for r in reply] + [b""], pa.binary()), "tokens": pa.array([0] * n + [int(real.sum())], pa.int64()), "words": pa.array([0] * n + [int((real > 0).sum())], pa.int64())})
