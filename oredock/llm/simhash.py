@@ -18,7 +18,7 @@ each written to the shared folder.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint 0, linked like any
 other; repeated rows are rows of their own; null ids are kept, and a component's id is null only if all
-its ids are; other columns ride along in keep_one.
+its ids are (keep_one then keeps its rows, as nothing tells them apart); other columns ride along in keep_one.
 """
 
 from __future__ import annotations
@@ -217,7 +217,8 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """docs with __fp; and for each __fp its __root, the component's smallest, and __component, the smallest id there."""
     small_batches(docs.sparkSession)
-    marked = docs.withColumn("__fp", fingerprint_of(text_of()))
+    # never null, as Spark can then see: a join on it adds no null check, which would fingerprint texts twice
+    marked = docs.withColumn("__fp", F.coalesce(fingerprint_of(text_of()), F.lit(0).cast("long")))
     prints = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first_id")))
     roots = components(links(prints.select("fp"), radius))
     named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

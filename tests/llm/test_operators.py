@@ -234,6 +234,17 @@ def test_lm_scoring(odd, wide, none, block):
     assert rows_of(lm_scoring.score(none, held_out("doc_id", 7, 2))) == []
 
 
+def test_lm_counts_of_any_size():
+    for counts in ([0], [1, 255, 0], [256, 3], [2**32, 2**40 + 7, 5]):
+        assert lm_scoring._from_planes(lm_scoring._to_planes(np.array(counts))).tolist() == counts
+
+
+def test_simhash_fingerprints_once(odd):
+    """A join on the fingerprint must not make Spark evaluate it twice."""
+    plan = simhash.near_groups(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("fingerprint_of(") == 1
+
+
 def test_lm_distribution_sums_to_one():
     words = [b"a", b"b", b"c"]
     docs = [(1, "a b a"), (3, "a c"), (4, "b")]
