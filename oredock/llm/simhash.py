@@ -19,23 +19,33 @@ each written to the shared folder.
 Defined cases: a null text counts as empty; texts without words have fingerprint 0, linked like any
 other; repeated rows are rows of their own; null ids are kept, and a component's id is null only if all
 its ids are (keep_one then keeps its rows, as nothing tells them apart); other columns ride along in keep_one.
+
+keep_one with a similarity (the pipeline's stage): fingerprints are over sets of shingles; at the distances
+that a Jaccard similarity of 0.8 gives, equal ranges can't be found for every choice, so fingerprints meet in
+TABLES tables of BITS fixed bits each, are compared bit-sliced with the radius that follows from the
+similarity, and links are checked exactly on the shingle sets. Bounds: a class of texts with more than MOST
+smaller links within the radius has only the MOST nearest of them checked; pairs that no table joins
+or that differ in more bits are missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oredock.llm.common import LOWER, materialize, read, small_batches, text_of
 
 WORDS, RADIUS, PARTS, BLOCK, SEED = 3, 3, 5, 4096, 42
+# For a similarity: tables, bits of each, standard deviations of the distance, and links to check of each class.
+TABLES, BITS, DEVIATIONS, MOST = 96, 12, 2.5, 32
 LANES = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -214,6 +224,121 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def masks_of(tables: int = TABLES, bits: int = BITS) -> np.ndarray:
+    """One choice of bit positions for each table, from a fixed seed."""
+    rng = np.random.default_rng(SEED)
+    return np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)], dtype=np.uint64)
+
+
+def radius_of(similarity: float) -> int:
+    """Bits in which 64-bit fingerprints of two shingle sets of that Jaccard similarity differ, and DEVIATIONS standard deviations more."""
+    # sets of similarity s have a cosine of at least 2 s / (1 + s); each bit differs with probability angle / pi
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return min(63, math.ceil(64 * p + DEVIATIONS * math.sqrt(64 * p * (1 - p))))
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; that of two empty ones is 1."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
+
+
+def nearest(values: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of links: for each key a at most the `most` nearest smaller keys b."""
+    left, right = linked(values, groups, radius)
+    a, b = np.maximum(keys[left], keys[right]), np.minimum(keys[left], keys[right])
+    far = np.bitwise_count(values[left] ^ values[right]).astype(np.int64)
+    order = np.lexsort((b, far, a))
+    a, b, far = a[order], b[order], far[order]
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    fresh &= a != b
+    a, b, far = a[fresh], b[fresh], far[fresh]
+    stay = np.arange(len(a)) - np.searchsorted(a, a) < most
+    return a[stay], b[stay], far[stay]
+
+
+def near_links(classes: DataFrame, radius: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of keys to check: fingerprints that meet in a table and differ in at most radius bits. classes: key, fp."""
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks_of().view(np.int64))])
+    dealt = classes.select("key", "fp", F.explode(keys).alias("bucket"))
+    # at most one row for each `block` rows
+    large = dealt.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    parted = dealt.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, F.col("own")) * 32768 + F.greatest(x, F.col("own")))
+    rows = parted.select("bucket", F.explode(pairs).alias("pair"), "key", "fp")
+
+    def edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        fp, key, group = (np.concatenate(p) for p in zip(*parts))
+        found = nearest(fp.view(np.uint64), key, group, radius, most)
+        return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("abd", found)})
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, ...]] = []
+        held, number, last = 0, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "pair")], axis=1)
+            fp, key = (batch.column(c).to_numpy() for c in ("fp", "key"))
+            change = np.concatenate([[last is None or (table[0] != last).any()], (table[1:] != table[:-1]).any(axis=1)])
+            ids = number + np.cumsum(change)
+            number, last = int(ids[-1]), table[-1]
+            if held >= 16 * block and change.any():  # all groups before this batch's first change are whole
+                cut = int(np.argmax(change))
+                yield edges([*parts, (fp[:cut], key[:cut], ids[:cut])])
+                parts, held, fp, key, ids = [], 0, fp[cut:], key[cut:], ids[cut:]
+            parts.append((fp, key, ids))
+            held += len(fp)
+        if held:
+            yield edges(parts)
+
+    found = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(compared, "a long, b long, d long").distinct()
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return found.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
+
+
+def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """docs, written with __rid (a number for each row); and the __rid of one row of each component.
+
+    Classes are texts of one shingle set (__key). Classes whose fingerprints are near are linked if the
+    Jaccard similarity of their texts' shingle sets is at least `similarity`.
+    """
+    small_batches(docs.sparkSession)
+
+    def prints(texts: pa.Array) -> pa.Array:
+        sets = [shingle_set(t, words) for t in texts.cast(pa.binary()).to_pylist()]
+        fp = pa.array([fingerprint(s) for s in sets], pa.int64())
+        key = pa.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], pa.uint64())
+        return pa.StructArray.from_arrays([fp, key.view(pa.int64())], names=["fp", "key"])
+
+    def similar(ones: pa.Array, others: pa.Array) -> pa.Array:
+        pairs = zip(ones.cast(pa.binary()).to_pylist(), others.cast(pa.binary()).to_pylist())
+        return pa.array([similarity_of(shingle_set(a, words), shingle_set(b, words)) >= similarity for a, b in pairs], pa.bool_())
+
+    prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    similar.__annotations__ = {"ones": pa.Array, "others": pa.Array, "return": pa.Array}
+    print_of, is_similar = F.arrow_udf(prints, "fp long, key long"), F.arrow_udf(similar, "boolean")
+    marked = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__p", print_of(text_of())))
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__rid").alias("rid"))
+    classes = materialize(marked.groupBy(F.col("__p.key").alias("key")).agg(F.min("__p.fp").alias("fp"), F.min(ranked).alias("first")))
+    pairs = materialize(near_links(classes.select("key", "fp"), radius_of(similarity)))
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    wanted = classes.join(ends.hint("merge"), "key").select(F.col("first.rid").alias("__rid"), "key")
+    # a row for each class, so no key of these joins is hot but a class of many links, which adaptive execution splits
+    texts = materialize(marked.select("__rid", text_of().alias("t")).join(wanted.hint("merge"), "__rid").select("key", "t"))
+    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
+    both = one.join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
+    roots = components(materialize(both.filter(is_similar("ta", "tb")).select("a", "b")))
+    named = classes.join(roots.hint("merge"), classes.key == roots.node, "left").select("first", F.coalesce("root", "key").alias("root"))
+    return marked, named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
+
+
 def grouped(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """docs with __fp; and for each __fp its __root, the component's smallest, and __component, the smallest id there."""
     small_batches(docs.sparkSession)
@@ -238,10 +363,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The columns of docs; of each component the row with the smallest doc_id stays (its repeats are the same document)."""
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
+    """The columns of docs; of each component the row with the smallest doc_id stays (its repeats are the same document).
+
+    With a similarity, texts whose shingle sets of so many words have at least that Jaccard similarity are
+    linked, the radius follows from it, and one row of each component stays.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    marked, table = grouped(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row")), radius)
-    # joined by fingerprint and id at once: copies share a fingerprint, but no key
-    one = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]), "left_semi")
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    if similarity is None:
+        marked, table = grouped(packed, radius)
+        # joined by fingerprint and id at once: copies share a fingerprint, but no key
+        one = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]), "left_semi")
+    else:
+        marked, rows = similar_rows(packed, words, similarity)
+        one = marked.join(rows.hint("merge"), "__rid", "left_semi")
     return one.select(*[F.col("row")[c].alias(c) if c in others else c for c in docs.columns])

@@ -148,6 +148,43 @@ def test_simhash_links(spark, block):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, got.values()))
 
 
+def test_keep_one_by_similarity(spark):
+    """Near copies of similarity 0.8 and more go, others stay; one row of each group, also of repeated rows and null ids."""
+    rng = np.random.default_rng(5)
+    docs, group = [], []
+    for g in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        docs.append((1000 + g, " ".join(base)))
+        group.append(g)
+        for k, changes in enumerate((1, 3, 4, 12)):  # 3 changed words leave a similarity of about 0.86, 4 of 0.82, 12 of 0.5
+            words = base[:]
+            for at in np.linspace(8, 192, changes).astype(int):
+                words[at] = f"x{g}y{k}z{at}"
+            docs.append((2000 + 10 * g + k, " ".join(words)))
+            group.append(g if changes < 12 else 100 + g)
+    docs += [(docs[0][0], docs[0][1])] * 2 + [(None, "only null ids have this text here")] * 3
+    group += [0, 0, 200, 200, 200]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    for (_, a), ga in zip(docs[:10], group):
+        for (_, b), gb in zip(docs[:10], group):
+            if ga == gb and docs.index((_, b)) % 5 == 0:
+                assert len(grams(a) & grams(b)) / len(grams(a) | grams(b)) >= 0.8
+    want = [min((d[0] for d, x in zip(docs, group) if x == g and d[0] is not None), default=None) for g in set(group)]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"), words=5, similarity=0.8).collect()]
+    same(kept, want)
+
+
+def test_near_stage_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    other = ["new" if i in (20, 90, 160) else w for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+    prints = [r["__fp"] & (1 << 64) - 1 for r in simhash.near_groups(docs).collect()]
+    assert (prints[0] ^ prints[1]).bit_count() > simhash.RADIUS
+    assert [r.doc_id for r in corpus_pipeline.near_stage(spark, docs, "").collect()] == [1]
+
+
 SPACED = ["x  <|endoftext|> y\n <|endoftext|>  z", "a \n  b\t c  ", " ", "x\u00a0 \u2003y", "long" * 2000 + " end"]
 
 
