@@ -18,7 +18,7 @@ each written to the shared folder.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint 0, linked like any
 other; repeated rows are rows of their own; null ids are kept, and a component's id is null only if all
-its ids are (keep_one then keeps its rows, as nothing tells them apart); other columns ride along in keep_one.
+its ids are; keep_one keeps one row of each component, also of repeated rows and null ids; other columns ride along in keep_one.
 
 keep_one with a similarity (the pipeline's stage): fingerprints are over sets of shingles; at the distances
 that a Jaccard similarity of 0.8 gives, equal ranges can't be found for every choice, so fingerprints meet in
@@ -325,7 +325,7 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     similar.__annotations__ = {"ones": pa.Array, "others": pa.Array, "return": pa.Array}
     print_of, is_similar = F.arrow_udf(prints, "fp long, key long"), F.arrow_udf(similar, "boolean")
     marked = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__p", print_of(text_of())))
-    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("__rid").alias("rid"))
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__rid").alias("rid"))
     classes = materialize(marked.groupBy(F.col("__p.key").alias("key")).agg(F.min("__p.fp").alias("fp"), F.min(ranked).alias("first")))
     pairs = materialize(near_links(classes.select("key", "fp"), radius_of(similarity)))
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
@@ -364,18 +364,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
-    """The columns of docs; of each component the row with the smallest doc_id stays (its repeats are the same document).
+    """The columns of docs; of each component one row with the smallest doc_id stays (by text hash, then any, where several have it).
 
     With a similarity, texts whose shingle sets of so many words have at least that Jaccard similarity are
-    linked, the radius follows from it, and one row of each component stays.
+    linked, and the radius follows from it.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
     if similarity is None:
-        marked, table = grouped(packed, radius)
+        written = materialize(packed.withColumn("__rid", F.monotonically_increasing_id()))
+        marked, table = grouped(written, radius)
         # joined by fingerprint and id at once: copies share a fingerprint, but no key
-        one = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]), "left_semi")
+        smallest = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]))
+        rows = smallest.groupBy("__root").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "__rid")).alias("first")).select("first.__rid")
     else:
-        marked, rows = similar_rows(packed, words, similarity)
-        one = marked.join(rows.hint("merge"), "__rid", "left_semi")
+        written, rows = similar_rows(packed, words, similarity)
+    one = written.join(rows.hint("merge"), "__rid", "left_semi")
     return one.select(*[F.col("row")[c].alias(c) if c in others else c for c in docs.columns])

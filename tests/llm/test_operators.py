@@ -174,6 +174,12 @@ def test_keep_one_by_similarity(spark):
     same(kept, want)
 
 
+def test_keep_one_row_of_a_component(spark):
+    docs = [(1, "one text here")] * 3 + [(None, "text of null ids only")] * 2 + [(5, "alpha beta gamma"), (5, "alpha  beta gamma")]
+    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
+    same(kept, [1, None, 5])
+
+
 def test_near_stage_of_the_pipeline(spark):
     import corpus_pipeline
 
