@@ -23,7 +23,7 @@ its ids are; keep_one keeps one row of each component, also of repeated rows and
 keep_one with a similarity (the pipeline's stage): fingerprints are over sets of shingles; at the distances
 that a Jaccard similarity of 0.8 gives, equal ranges can't be found for every choice, so fingerprints meet in
 TABLES tables of BITS fixed bits each, are compared bit-sliced with the radius that follows from the
-similarity, and links are checked exactly on the shingle sets. Bounds: a class of texts with more than MOST
+similarity and by a second fingerprint, and links are checked exactly on the shingle sets. Bounds: a class of texts with more than MOST
 smaller links within the radius has only the MOST nearest of them checked; pairs that no table joins
 or that differ in more bits are missed.
 """
@@ -45,7 +45,7 @@ from oredock.llm.common import LOWER, materialize, read, small_batches, text_of
 
 WORDS, RADIUS, PARTS, BLOCK, SEED = 3, 3, 5, 4096, 42
 # For a similarity: tables, bits of each, standard deviations of the distance, and links to check of each class.
-TABLES, BITS, DEVIATIONS, MOST = 96, 12, 2.5, 32
+TABLES, BITS, DEVIATIONS, MOST = 64, 12, 3, 32
 LANES = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -230,11 +230,11 @@ def masks_of(tables: int = TABLES, bits: int = BITS) -> np.ndarray:
     return np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)], dtype=np.uint64)
 
 
-def radius_of(similarity: float) -> int:
-    """Bits in which 64-bit fingerprints of two shingle sets of that Jaccard similarity differ, and DEVIATIONS standard deviations more."""
+def radius_of(similarity: float, width: int = 64) -> int:
+    """Bits in which fingerprints of so many bits of two shingle sets of that Jaccard similarity differ, and DEVIATIONS standard deviations more."""
     # sets of similarity s have a cosine of at least 2 s / (1 + s); each bit differs with probability angle / pi
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return min(63, math.ceil(64 * p + DEVIATIONS * math.sqrt(64 * p * (1 - p))))
+    return min(width - 1, math.ceil(width * p + DEVIATIONS * math.sqrt(width * p * (1 - p))))
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -248,11 +248,20 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared) if len(a) or len(b) else 1.0
 
 
-def nearest(values: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) of links: for each key a at most the `most` nearest smaller keys b."""
+def again(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a second fingerprint (the finalizer of SplitMix64)."""
+    x = hashes ^ (hashes >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def nearest(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, both: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of links within `radius` by the first and `both` by both fingerprints: for each key a at most the `most` nearest smaller keys b."""
     left, right = linked(values, groups, radius)
+    far = (np.bitwise_count(values[left] ^ values[right]) + np.bitwise_count(seconds[left] ^ seconds[right])).astype(np.int64)
+    left, right, far = left[far <= both], right[far <= both], far[far <= both]
     a, b = np.maximum(keys[left], keys[right]), np.minimum(keys[left], keys[right])
-    far = np.bitwise_count(values[left] ^ values[right]).astype(np.int64)
     order = np.lexsort((b, far, a))
     a, b, far = a[order], b[order], far[order]
     fresh = np.ones(len(a), dtype=bool)
@@ -263,19 +272,21 @@ def nearest(values: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: in
     return a[stay], b[stay], far[stay]
 
 
-def near_links(classes: DataFrame, radius: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of keys to check: fingerprints that meet in a table and differ in at most radius bits. classes: key, fp."""
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(int(m)))) for t, m in enumerate(masks_of().view(np.int64))])
-    dealt = classes.select("key", "fp", F.explode(keys).alias("bucket"))
-    # at most one row for each `block` rows
-    large = dealt.groupBy("bucket").count().filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+def near_links(classes: DataFrame, radius: int, both: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) of keys to check: fingerprints that meet in a table and differ in at most radius bits, and in `both` with the second ones. classes: key, fp, second."""
+    # small numbers, which shuffle at few bytes
+    keys = F.array(*[F.lit(t << 16) + F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(int(m)))), F.lit(1 << 16)).cast("int") for t, m in enumerate(masks_of().view(np.int64))])
+    dealt = classes.select("key", "fp", "second", F.explode(keys).alias("bucket"))
+    # sizes, from an eighth of the keys, only decide how a bucket is split; at most one row for each `block` rows
+    counted = dealt.filter(F.pmod("key", F.lit(8)) == 0).groupBy("bucket").agg((8 * F.count("*")).alias("count"))
+    large = counted.filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     parted = dealt.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, F.col("own")) * 32768 + F.greatest(x, F.col("own")))
-    rows = parted.select("bucket", F.explode(pairs).alias("pair"), "key", "fp")
+    rows = parted.select("bucket", F.explode(pairs).alias("pair"), "key", "fp", "second")
 
     def edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        fp, key, group = (np.concatenate(p) for p in zip(*parts))
-        found = nearest(fp.view(np.uint64), key, group, radius, most)
+        fp, second, key, group = (np.concatenate(p) for p in zip(*parts))
+        found = nearest(fp.view(np.uint64), second.view(np.uint64), key, group, radius, both, most)
         return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("abd", found)})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,15 +296,15 @@ def near_links(classes: DataFrame, radius: int, most: int = MOST, block: int = B
             if not batch.num_rows:
                 continue
             table = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "pair")], axis=1)
-            fp, key = (batch.column(c).to_numpy() for c in ("fp", "key"))
+            fp, second, key = (batch.column(c).to_numpy() for c in ("fp", "second", "key"))
             change = np.concatenate([[last is None or (table[0] != last).any()], (table[1:] != table[:-1]).any(axis=1)])
             ids = number + np.cumsum(change)
             number, last = int(ids[-1]), table[-1]
             if held >= 16 * block and change.any():  # all groups before this batch's first change are whole
                 cut = int(np.argmax(change))
-                yield edges([*parts, (fp[:cut], key[:cut], ids[:cut])])
-                parts, held, fp, key, ids = [], 0, fp[cut:], key[cut:], ids[cut:]
-            parts.append((fp, key, ids))
+                yield edges([*parts, (fp[:cut], second[:cut], key[:cut], ids[:cut])])
+                parts, held, fp, second, key, ids = [], 0, fp[cut:], second[cut:], key[cut:], ids[cut:]
+            parts.append((fp, second, key, ids))
             held += len(fp)
         if held:
             yield edges(parts)
@@ -313,9 +324,9 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
 
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t, words) for t in texts.cast(pa.binary()).to_pylist()]
-        fp = pa.array([fingerprint(s) for s in sets], pa.int64())
+        fp, second = (pa.array([fingerprint(hashes(s)) for s in sets], pa.int64()) for hashes in (np.asarray, again))
         key = pa.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], pa.uint64())
-        return pa.StructArray.from_arrays([fp, key.view(pa.int64())], names=["fp", "key"])
+        return pa.StructArray.from_arrays([fp, second, key.view(pa.int64())], names=["fp", "second", "key"])
 
     def similar(ones: pa.Array, others: pa.Array) -> pa.Array:
         pairs = zip(ones.cast(pa.binary()).to_pylist(), others.cast(pa.binary()).to_pylist())
@@ -323,11 +334,11 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
 
     prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     similar.__annotations__ = {"ones": pa.Array, "others": pa.Array, "return": pa.Array}
-    print_of, is_similar = F.arrow_udf(prints, "fp long, key long"), F.arrow_udf(similar, "boolean")
+    print_of, is_similar = F.arrow_udf(prints, "fp long, second long, key long"), F.arrow_udf(similar, "boolean")
     marked = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__p", print_of(text_of())))
     ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__rid").alias("rid"))
-    classes = materialize(marked.groupBy(F.col("__p.key").alias("key")).agg(F.min("__p.fp").alias("fp"), F.min(ranked).alias("first")))
-    pairs = materialize(near_links(classes.select("key", "fp"), radius_of(similarity)))
+    classes = materialize(marked.groupBy(F.col("__p.key").alias("key")).agg(F.min("__p.fp").alias("fp"), F.min("__p.second").alias("second"), F.min(ranked).alias("first")))
+    pairs = materialize(near_links(classes.select("key", "fp", "second"), radius_of(similarity), radius_of(similarity, 128)))
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     wanted = classes.join(ends.hint("merge"), "key").select(F.col("first.rid").alias("__rid"), "key")
     # a row for each class, so no key of these joins is hot but a class of many links, which adaptive execution splits
