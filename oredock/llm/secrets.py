@@ -1,11 +1,12 @@
 """Secret scans (operator 1, DataFrame operations only).
 
-Patterns give the base spans. Besides, candidate strings (runs of 20 or more letters, digits and
-+ / _ = - with both letters and digits) are scanned with a sliding window: the Shannon entropy of WINDOW
+Patterns give the base spans. Besides, candidate strings (all runs of 20 or more letters, digits and
++ / _ = -) are scanned with a sliding window: the Shannon entropy of WINDOW
 characters is kept as the sum of c * log2(c) over the counts c, and a step only changes the terms of the
 character that leaves and of the one that enters. Windows above the threshold of the candidate's
-character class (hex digits, or all of the run's characters) join into spans, unless the allow-list
-knows the candidate or a base span overlaps.
+character class (hex digits, or all of the run's characters) join into spans. Only windows that lie in
+a base span or in a part of the run on the allow-list, or that have eight equal characters in a row, don't
+count: what a run has besides them is found.
 
 Each document is one row from end to end: no shuffle, so there is nothing to skew.
 
@@ -16,6 +17,8 @@ are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +28,15 @@ from oredock.llm.common import read, text_of
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"[0-9a-f]{32,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{20,}+"
-#: Candidates that are no secrets: placeholders, UUIDs, named digests, plain runs.
-ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefgh|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(sha1|sha256|sha384|sha512|md5)[-=_]|(.)\2{7}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Parts of runs that are no secrets: placeholders, UUIDs, named digests. A part starts where no letter or digit is before it.
+ALLOWED = (
+    r"(?i)(?<![A-Za-z0-9])(?:(?:example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefgh)[A-Za-z0-9]*"
+    r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![A-Za-z0-9])"
+    + "".join(rf"|{name}[-=_](?:[0-9a-f]{{{size}}}(?![A-Za-z0-9])|[A-Za-z0-9+/]{{1,{-(-size // 6) * 4}}}={{0,2}})" for name, size in (("sha1", 40), ("sha256", 64), ("sha384", 96), ("sha512", 128), ("md5", 32)))
+    + ")"
+)
+EQUAL = r"(.)\1{7}"
 KINDS = ["assign", "access", "hex", "entropy_hex", "entropy_base64"]
 WINDOW, LIMITS = 20, {"entropy_hex": 2.8, "entropy_base64": 3.8}
 SPANS = "array<struct<start:int,kind:int,end:int>>"
@@ -48,8 +57,8 @@ def _places(text: str, pattern: str, found: str) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step)["out"]).otherwise(zero["out"])
 
 
-def _entropy(match: Column, limit: Column, window: int) -> Column:
-    """Spans (start, end) within match whose windows have at least `limit` bits a character."""
+def _entropy(match: Column, limit: Column, window: int, quiet: Callable[[Column], Column]) -> Column:
+    """Spans (start, end) within match whose windows have at least `limit` bits a character and aren't quiet at their start."""
 
     def term(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(0.0)
@@ -66,7 +75,7 @@ def _entropy(match: Column, limit: Column, window: int) -> Column:
         last = F.try_element_at(spans, F.lit(-1))
         joined = F.concat(F.slice(spans, 1, F.size(spans) - 1), F.array(F.struct(last["s"].alias("s"), (i + window).alias("e"))))
         own = F.concat(spans, F.array(F.struct(i.alias("s"), (i + window).alias("e"))))
-        return F.when(total / window > most, spans).when(F.coalesce(last["e"] >= i, F.lit(False)), joined).otherwise(own)
+        return F.when(total / window > most, spans).when(quiet(i), spans).when(F.coalesce(last["e"] >= i, F.lit(False)), joined).otherwise(own)
 
     def step(acc: Column, i: Column) -> Column:
         inner = F.substr(match, i + 1, F.lit(window - 1))
@@ -79,10 +88,13 @@ def _entropy(match: Column, limit: Column, window: int) -> Column:
     return F.aggregate(steps, start, step)["spans"]
 
 
-def scan(docs: DataFrame, window: int = WINDOW, limits: dict[str, float] = LIMITS, allowed: str = ALLOWED) -> DataFrame:
-    """One row per document: doc_id and spans, an array of (start, kind: its number in KINDS, end) by start, then kind."""
+def scan(docs: DataFrame, window: int = WINDOW, limits: dict[str, float] = LIMITS, allowed: str = ALLOWED, beside_base: bool = False) -> DataFrame:
+    """One row per document: doc_id and spans, an array of (start, kind: its number in KINDS, end) by start, then kind.
+
+    Runs that a base span overlaps are scanned only with beside_base, as the query does.
+    """
     rows = docs.select("doc_id", text_of().alias("text"))
-    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": CANDIDATE}
+    patterns = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "run": CANDIDATE, "known": allowed}
     rows = rows.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(f"{k}_found") for k, p in patterns.items()], F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)).alias("values"))
     rows = rows.select("doc_id", "values", *[_places("text", p, f"{k}_found").alias(k) for k, p in patterns.items()])
     long_enough = F.filter(F.arrays_zip("assign", "values"), lambda x: F.length(x["values"]) >= 8)
@@ -91,15 +103,23 @@ def scan(docs: DataFrame, window: int = WINDOW, limits: dict[str, float] = LIMIT
         return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
     base = F.concat(of_kind(F.transform(long_enough, lambda x: x["assign"]), 0), of_kind("access", 1), of_kind("hex", 2))
-    rows = rows.select("doc_id", "run", F.array_sort(base.cast(SPANS)).alias("base"))
-    likely = F.filter("run", lambda r: ~F.rlike(r["match"], F.lit(allowed)) & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    rows = rows.select("doc_id", "base", F.when(F.size("run") > 0, likely).otherwise(F.slice("run", 1, 0)).alias("run"))
+    rows = rows.select("doc_id", "run", "known", F.array_sort(base.cast(SPANS)).alias("base"))
+    # only these can hold a window
+    quiet = F.filter(F.concat(*[F.transform(c, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for c in ("base", "known")]), lambda q: q["end"] - q["start"] >= window)
+    run = F.col("run") if beside_base else F.filter("run", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    rows = rows.select("doc_id", "base", run.alias("run"), quiet.alias("quiet"))
 
     def spans_of(r: Column) -> Column:
         is_hex = F.rlike(r["match"], F.lit("^([0-9a-f]+|[0-9A-F]+)$"))
         kind = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
         limit = F.when(is_hex, limits["entropy_hex"]).otherwise(limits["entropy_base64"])
-        return F.transform(_entropy(r["match"], limit, window), lambda s: F.struct((r["start"] + s["s"]).alias("start"), kind.alias("kind"), (r["start"] + s["e"]).alias("end")))
+
+        def is_quiet(i: Column) -> Column:
+            at = r["start"] + i
+            inside = F.exists("quiet", lambda q: (q["start"] <= at) & (at + window <= q["end"]))
+            return inside | F.rlike(F.substr(r["match"], i + 1, F.lit(window)), F.lit(EQUAL))
+
+        return F.transform(_entropy(r["match"], limit, window, is_quiet), lambda s: F.struct((r["start"] + s["s"]).alias("start"), kind.alias("kind"), (r["start"] + s["e"]).alias("end")))
 
     more = F.when(F.size("run") > 0, F.flatten(F.transform("run", spans_of)).cast(SPANS)).otherwise(F.array().cast(SPANS))
     return rows.select("doc_id", "base", F.array_sort(F.concat("base", more)).alias("spans"))
@@ -111,7 +131,7 @@ def _joined(spans: str) -> Column:
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(read(spark, sf_dir, "documents"))
+    found = scan(read(spark, sf_dir, "documents"), beside_base=True)
 
     def count_of(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
