@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,18 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where none is set."""
+    """The folder that spark.checkpoint.dir names. Only a local session may go without one: it gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.conf.get("oredock.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("oredock.shared.dir", found)
     return found.rstrip("/")
@@ -43,9 +51,29 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most so many rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fold(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame, dict[str, Column]], DataFrame]]:
+    """docs as the columns `own` (null where docs lacks one) and `row`, which holds all others: no name of theirs clashes.
+
+    The second value turns such rows back into the columns of docs, followed by those of `new`, which
+    replace columns of the same name; a name of `own` in `new` takes the place it had.
+    """
+    names = docs.columns
+    at = {c: next((f"c{i}" for i, n in enumerate(names) if n.lower() == c), None) for c in own}
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    rest = [f"c{i}" for i in range(len(names)) if f"c{i}" not in at.values()]
+    folded = numbered.select(*[(F.col(at[c]) if at[c] else F.lit(None).cast("long" if c == "doc_id" else "string")).alias(c) for c in own], F.struct(F.lit(0).alias("_"), *rest).alias("row"))
+
+    def unfold(rows: DataFrame, new: dict[str, Column]) -> DataFrame:
+        replaced = {k.lower() for k in new}
+        out: list[Column] = []
+        for i, n in enumerate(names):
+            if f"c{i}" in at.values():
+                out.append(new.get(n.lower(), F.col(n.lower())).alias(n))
+            elif n.lower() not in replaced:
+                out.append(F.col(f"row.c{i}").alias(n))
+        return rows.select(*out, *[c.alias(k) for k, c in new.items() if k not in own])
+
+    return folded, unfold
 
 
 def held_out(column: str, modulus: int, remainder: int) -> Column:

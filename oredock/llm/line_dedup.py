@@ -3,15 +3,14 @@
 1. Documents per distinct line: Python counts lines of its batches, Spark sums the counts.
 2. The distinct line hashes (128 bits) are dealt into shards of about SHARD keys; each shard's minimal
    perfect hash, fingerprints and counts become one row of a table in the shared folder.
-3. Documents ask the shards: a task packs the hashes of its lines by shard. Index and packed requests
-   are sorted by shard, so a task holds one shard's arrays at a time and streams requests past them.
-   Lines found often enough come back as (row hash, line hash).
-4. Documents drop the lines that came back.
+3. Documents are dealt into groups of about GROUP bytes. A group asks the shards for each of its distinct
+   lines once. Index and requests are sorted by shard, so a task holds one shard's arrays at a time and
+   streams requests past them; lines found often enough come back to the group that asked.
+4. Groups drop the lines that came back.
 
-Every line of every document is in the index, so a probe's answer is exact. The most frequent lines
-to be dropped (HOT at most, found with a top-k) go to all tasks by value and are not asked for again;
-any other line is asked for by less than 1 / HOT of all lines' rows, so no shard is hot. What comes back
-is joined by a hash of id and text, so copies of one text don't share a key.
+Every line goes through the index; each is in it, so a probe's answer is exact. A frequent line is one
+request of each group at most, so no shard is hot. Requests are rows of 20 bytes, as many as there are
+distinct lines in each group: they grow with the input.
 
 Defined cases: a null or empty text is one empty line; a line whose key is shorter than min_chars
 stays; repeated rows count as documents of their own; null ids are kept; other columns ride along,
@@ -25,15 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from oredock.llm.common import LOWER, WHITE_BYTES, materialize, read, small_batches, text_of
+from oredock.llm.common import LOWER, WHITE_BYTES, fold, materialize, read, text_of
 from oredock.llm.line_index import LineIndex
 
-MIN_DOCS, MIN_CHARS, SHARD, HOT, HELD = 10, 1, 1 << 17, 4096, 200_000
-LINES = "line binary, docs long"
-PACKED = "shard int, kind int, a binary, b binary, c binary, d binary"
+MIN_DOCS, MIN_CHARS, SHARD, GROUP, HELD = 10, 1, 1 << 17, 2 << 20, 200_000
+LINES = "high long, low long, docs long"
+PROBE = "shard int, group int, high long, low long, data binary"
+#: The group number of a shard's own row, which sorts before all that ask.
+INDEX = -1
 
 
 def line_hashes(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -42,22 +44,21 @@ def line_hashes(text: bytes, min_chars: int) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(x) if x and (min_chars <= 1 or len(x.decode()) >= min_chars) else None for x in keys]
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
+def _texts(batch: pa.RecordBatch | pa.Table) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def _split(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    pairs = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
     return np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
 
 
-def row_key(docs: DataFrame) -> Column:
-    """A hash of id, if there is one, and text. Rows that share it have the same lines."""
-    return F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], text_of())
-
-
 def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """line (its hash) and docs, the number of documents that have it."""
+    """high and low (a line's hash) and docs, the number of documents that have it."""
+
+    def packed(seen: dict[bytes, int]) -> pa.RecordBatch:
+        high, low = _split(list(seen))
+        return pa.RecordBatch.from_pydict({"high": high, "low": low, "docs": pa.array(list(seen.values()), pa.int64())})
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -67,95 +68,82 @@ def count_lines(docs: DataFrame, min_chars: int) -> DataFrame:
                     if h is not None:
                         seen[h] = seen.get(h, 0) + 1
             if len(seen) >= HELD:
-                yield pa.RecordBatch.from_pydict({"line": pa.array(list(seen), pa.binary()), "docs": list(seen.values())})
+                yield packed(seen)
                 seen = {}
-        yield pa.RecordBatch.from_pydict({"line": pa.array(list(seen), pa.binary()), "docs": pa.array(list(seen.values()), pa.int64())})
+        yield packed(seen)
 
-    return docs.select(text_of().alias("text")).mapInArrow(counted, LINES).groupBy("line").agg(F.sum("docs").alias("docs"))
+    return docs.select(text_of().alias("text")).mapInArrow(counted, LINES).groupBy("high", "low").agg(F.sum("docs").alias("docs"))
 
 
 def build_index(counts: DataFrame, shards: int) -> DataFrame:
-    """One packed row per shard."""
+    """One row per shard, with its arrays in `data`."""
 
     def built(group: pa.Table) -> pa.Table:
-        high, low = _split(group.column("line").to_pylist())
-        sizes, bits, prints, found = LineIndex.build(high, low, group.column("docs").to_numpy()).to_bytes()
-        return pa.table({"shard": group.column("shard")[:1], "kind": pa.array([0], pa.int32()), "a": pa.array([sizes], pa.binary()), "b": pa.array([bits], pa.binary()), "c": pa.array([prints], pa.binary()), "d": pa.array([found], pa.binary())})
+        high, low, docs = (group.column(c).to_numpy() for c in ("high", "low", "docs"))
+        data = LineIndex.build(high, low, docs).to_bytes()
+        return pa.table({"shard": group.column("shard")[:1], "group": pa.array([INDEX], pa.int32()), "high": pa.array([0], pa.int64()), "low": pa.array([0], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    code = F.conv(F.substring(F.hex("line"), 1, 8), 16, 10).cast("long")
-    return counts.select(F.pmod(code, F.lit(shards)).cast("int").alias("shard"), "line", "docs").groupBy("shard").applyInArrow(built, PACKED)
+    return counts.select(F.pmod("high", F.lit(shards)).cast("int").alias("shard"), "high", "low", "docs").groupBy("shard").applyInArrow(built, PROBE)
 
 
-def find_frequent(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, hot: set[bytes]) -> DataFrame:
-    """key (of the row) and frequent, the hashes of its lines that the index counts often enough, hot ones left out."""
+def find_frequent(dealt: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int) -> DataFrame:
+    """group, high and low: the lines of each group that the index counts often enough. dealt: group and text, by group."""
 
-    def packed(rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        digests, keys = [x[0] for x in rows], np.array([x[1] for x in rows], np.int64)
-        high, low = _split(digests)
-        lead = np.frombuffer(b"".join(digests), ">u4").reshape(-1, 4)[:, 0].astype(np.int64) % shards
-        order = np.argsort(lead, kind="stable")
-        own, first = np.unique(lead[order], return_index=True)
-        parts = np.split(order, first[1:])
-        columns = [[x[p].tobytes() for p in parts] for x in (high, low, keys)]
-        return pa.RecordBatch.from_pydict({"shard": pa.array(own, pa.int32()), "kind": pa.array([1] * len(own), pa.int32()), **{k: pa.array(v, pa.binary()) for k, v in zip("abc", columns)}, "d": pa.nulls(len(own), pa.binary())})
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[bytes, int]] = []
-        for batch in batches:
-            for text, key in zip(_texts(batch), batch.column("key").to_pylist()):
-                rows += [(h, key) for h in set(line_hashes(text, min_chars)) if h is not None and h not in hot]
-                if len(rows) >= HELD:
-                    yield packed(rows)
-                    rows = []
-        if rows:
-            yield packed(rows)
+    def asked(table: pa.Table) -> pa.Table:
+        own = {h for text in _texts(table) for h in line_hashes(text, min_chars) if h is not None}
+        high, low = _split(sorted(own))
+        group = pa.array(np.full(len(high), table.column("group")[0].as_py(), np.int32))
+        return pa.table({"shard": pa.array((high % shards).astype(np.int32)), "group": group, "high": high, "low": low, "data": pa.nulls(len(high), pa.binary())})
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, arrays = None, None
         for batch in batches:
-            for x in batch.to_pylist():
-                if not x["kind"]:
-                    at, arrays = x["shard"], LineIndex.from_bytes(x["a"], x["b"], x["c"], x["d"])
+            shard, group, high, low = (batch.column(c).to_numpy() for c in ("shard", "group", "high", "low"))
+            cuts = [0, *(np.nonzero(np.diff(shard))[0] + 1).tolist(), len(shard)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start < end and group[start] == INDEX:
+                    at, arrays = shard[start], LineIndex.from_bytes(batch.column("data")[start].as_py())
+                    start += 1
+                if start == end:
                     continue
-                if at != x["shard"]:
+                if at != shard[start]:
                     raise ValueError("a shard of the line index is missing")
-                high, low, keys = (np.frombuffer(x[k], np.int64) for k in "abc")
-                hit = arrays.lookup(high, low) >= min_docs
-                lines = np.stack([high[hit], low[hit]], axis=1)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[hit], pa.int64()), "line": pa.array([r.tobytes() for r in lines], pa.binary())})
+                own = slice(start, end)
+                hit = arrays.lookup(high[own], low[own]) >= np.uint64(min_docs)
+                yield pa.RecordBatch.from_pydict({"group": group[own][hit], "high": high[own][hit], "low": low[own][hit]})
 
-    requests = docs.select(row_key(docs).alias("key"), text_of().alias("text")).mapInArrow(asked, PACKED)
-    found = index.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(probed, "key long, line binary")
-    return found.groupBy("key").agg(F.collect_set("line").alias("frequent"))
+    requests = dealt.groupBy("group").applyInArrow(asked, PROBE)
+    return index.unionByName(requests).repartition("shard").sortWithinPartitions("shard", "group").mapInArrow(probed, "group int, high long, low long")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard: int = SHARD) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, shard: int = SHARD, group: int = GROUP) -> DataFrame:
     """The columns of docs, text without lines found in min_docs documents or more, and n_lines, n_dropped."""
-    small_batches(docs.sparkSession)
     counts = materialize(count_lines(docs, min_chars))
     shards = max(1, -(-counts.count() // shard))
     index = materialize(build_index(counts, shards))
-    top = counts.filter(F.col("docs") >= min_docs).orderBy(F.desc("docs"), "line").limit(HOT)
-    hot = {bytes(r["line"]) for r in top.collect()}
-    frequent = find_frequent(docs, index, shards, min_docs, min_chars, hot)
-
-    @F.arrow_udf("text string, n_lines long, n_dropped long")
-    def kept(texts: pa.Array, lines: pa.Array) -> pa.Array:
+    size = docs.select(F.sum(F.octet_length(text_of()))).first()[0] or 0
+    groups = max(1, -(-size // group))
+    folded, unfold = fold(docs, "doc_id", "text")
+    # rows without an id may all be alike: their number in the input tells them apart
+    apart = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = folded.select(F.pmod(F.xxhash64("doc_id", "text", apart), F.lit(groups)).cast("int").alias("group"), "doc_id", text_of().alias("text"), "row").repartition("group")
+    frequent = find_frequent(dealt, index, shards, min_docs, min_chars)  # all columns, so that one shuffle serves both
+
+    def cleaned(rows: pa.Table, lines: pa.Table) -> pa.Table:
+        pairs = np.stack([lines.column("high").to_numpy(), lines.column("low").to_numpy()], axis=1).astype("<i8")
+        gone = {p.tobytes() for p in pairs}
         out, n_lines, n_dropped = [], [], []
-        for text, own in zip(texts.cast(pa.binary()).to_pylist(), lines.to_pylist()):
-            gone = set(own or ())
+        for text in _texts(rows):
             parts = text.split(b"\n")
-            stay = [p for p, h in zip(parts, line_hashes(text, min_chars)) if h is None or not (h in hot or h in gone)]
+            stay = [p for p, h in zip(parts, line_hashes(text, min_chars)) if h not in gone]
             out.append(b"\n".join(stay))
             n_lines.append(len(parts))
             n_dropped.append(len(parts) - len(stay))
-        return pa.StructArray.from_arrays([pa.array(out, pa.binary()).cast(pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["text", "n_lines", "n_dropped"])
+        return pa.table({"doc_id": rows.column("doc_id"), "row": rows.column("row"), "text": pa.array(out, pa.binary()).cast(pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())})
 
-    plain = docs.drop("n_lines", "n_dropped", "__key").withColumn("__key", row_key(docs))
-    joined = plain.join(frequent.select(F.col("key").alias("__key"), F.col("frequent").alias("__frequent")), "__key", "left")
-    done = joined.withColumn("__kept", kept(text_of(), F.coalesce("__frequent", F.array().cast("array<binary>"))))
-    columns = [F.col("__kept.text").alias("text") if c == "text" else F.col(c) for c in plain.columns if c != "__key"]
-    return done.select(*columns, "__kept.n_lines", "__kept.n_dropped")
+    schema = T.StructType([folded.schema["doc_id"], T.StructField("row", folded.schema["row"].dataType), T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    done = dealt.groupBy("group").cogroup(frequent.groupBy("group")).applyInArrow(cleaned, schema)
+    return unfold(done, {"n_lines": F.col("n_lines"), "n_dropped": F.col("n_dropped")})
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +162,6 @@ SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The columns of docs with cleaned text; n_chars, if there is one, is the cleaned text's length."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    own_id = [c for c in docs.columns if c == "doc_id"]
-    done = dedup_lines(docs.select(*own_id, F.struct(F.lit(0).alias("_"), *others).alias("row"), "text"), min_docs, min_chars)
-    own = {**{c: F.col(c) for c in own_id}, "text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return done.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])
+    folded, unfold = fold(docs, "doc_id", "text", "n_chars")
+    done = dedup_lines(folded, min_docs, min_chars)
+    return unfold(done.drop("n_lines", "n_dropped"), {"n_chars": F.length("text").cast("long")})

@@ -28,7 +28,7 @@ class LineIndex:
 
     @classmethod
     def build(cls, high: np.ndarray, low: np.ndarray, counts: np.ndarray) -> LineIndex:
-        """Keys must be distinct; counts are kept up to 65535."""
+        """Keys must be distinct; counts are stored in the fewest bytes that hold the largest."""
         left, sizes, bits = np.arange(len(high)), [], []
         for level in range(LEVELS):
             if not len(left):
@@ -43,10 +43,11 @@ class LineIndex:
             left = left[~alone]
         if len(left):
             raise ValueError("keys of a line index must be distinct")
-        index = cls(np.array(sizes, dtype=np.int64), np.concatenate(bits) if bits else np.zeros(0, dtype=bool), np.zeros(len(high), np.uint32), np.zeros(len(high), np.uint16))
+        width = np.min_scalar_type(int(counts.max(initial=0)))
+        index = cls(np.array(sizes, dtype=np.int64), np.concatenate(bits) if bits else np.zeros(0, dtype=bool), np.zeros(len(high), np.uint32), np.zeros(len(high), width))
         slot = index.slots(high, low)
         index.prints[slot] = low.view(np.uint64).astype(np.uint32)
-        index.counts[slot] = np.minimum(counts, 65535)
+        index.counts[slot] = counts
         return index
 
     def slots(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -66,14 +67,20 @@ class LineIndex:
         slot = self.slots(high, low)
         found = slot >= 0
         found[found] = self.prints[slot[found]] == low[found].view(np.uint64).astype(np.uint32)
-        out = np.zeros(len(high), dtype=np.int64)
+        out = np.zeros(len(high), dtype=np.uint64)
         out[found] = self.counts[slot[found]]
         return out
 
-    def to_bytes(self) -> tuple[bytes, bytes, bytes, bytes]:
-        return self.sizes.tobytes(), np.packbits(self.bits).tobytes(), self.prints.tobytes(), self.counts.tobytes()
+    def to_bytes(self) -> bytes:
+        """The number of levels and of keys and the width of a count, then sizes, bits, fingerprints and counts."""
+        head = np.array([len(self.sizes), len(self.prints), self.counts.itemsize], dtype=np.int64)
+        return b"".join(x.tobytes() for x in (head, self.sizes, np.packbits(self.bits), self.prints, self.counts))
 
     @classmethod
-    def from_bytes(cls, sizes: bytes, bits: bytes, prints: bytes, counts: bytes) -> LineIndex:
-        sized = np.frombuffer(sizes, np.int64)
-        return cls(sized, np.unpackbits(np.frombuffer(bits, np.uint8), count=int(sized.sum())).astype(bool), np.frombuffer(prints, np.uint32), np.frombuffer(counts, np.uint16))
+    def from_bytes(cls, data: bytes) -> LineIndex:
+        levels, keys, width = np.frombuffer(data, np.int64, 3).tolist()
+        sizes = np.frombuffer(data, np.int64, levels, 24)
+        size, at = int(sizes.sum()), 24 + 8 * levels
+        bits = np.unpackbits(np.frombuffer(data, np.uint8, -(-size // 8), at), count=size).astype(bool)
+        at += -(-size // 8)
+        return cls(sizes, bits, np.frombuffer(data, "<u4", keys, at), np.frombuffer(data, f"<u{width}", keys, at + 4 * keys))

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oredock.llm.common import held_out, materialize, read, small_batches, text_of
+from oredock.llm.common import held_out, materialize, read, text_of
 
 SAMPLE, TREES, DEPTH, LASSO, CUT = 20_000, 24, 3, 0.001, 0.3
 STATS = ["words", "chars_per_word", "symbols", "upper", "digits", "marks", "bars", "ends", "distinct_words", "same_as_last", "words_per_line", "distinct_lines", "wide", "long_words"]
@@ -90,7 +90,6 @@ class RuleModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
-    small_batches(docs.sparkSession)
     marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.round(F.avg("quality")).alias("label")).filter(~held_out("doc_id", 5, 0))
     code = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     marks = materialize(marks.withColumn("code", code))
@@ -116,7 +115,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = T
 
 def scored(docs: DataFrame, model: RuleModel, cut: float = CUT) -> DataFrame:
     """The columns of docs, held_out, score and predicted."""
-    small_batches(docs.sparkSession)
     plain = docs.drop("held_out", "score", "predicted", "__s")
     inner = RuleModel(model.intercept, [(tuple((f"__s.{s}", op, v) for s, op, v in r), w) for r, w in model.weights])
     rows = plain.withColumn("__s", statistics_of(text_of())).withColumn("score", inner.score()).drop("__s")
