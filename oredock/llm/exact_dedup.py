@@ -1,13 +1,16 @@
 """Exact deduplication by deterministic block naming (operator 7, DataFrame operations only).
 
-A text, without white space, is cut into blocks of fixed size. Equal blocks get one integer name,
-by sorting them; then adjacent names are named in pairs, again by sorting, until every document
-has a single name. No hash decides equality: hashes only choose where a block is sorted.
+A text, without white space, is cut into blocks of fixed size, which are written once to the shared
+folder. Equal blocks get one integer name: the distinct blocks, found with partial aggregation, are
+sorted and numbered. Then adjacent names are named in pairs, in the same way, until every document has
+a single name.
 
-Skew: of the values to be named, the HEAVY most frequent ones (a bounded list of hashes, counted
-with partial aggregation) are named once and joined back by a broadcast of at most that many
-distinct values; any other value has at most 1 / HEAVY of the rows, so the sorting buckets are even.
-Likewise the HEAVY largest groups are joined back to their documents by a broadcast, the others by name.
+Names are joined back by a 64-bit hash instead of by whole blocks. The hash decides nothing: values that
+share a hash with another value are found when names are given, and are joined by value.
+
+Skew: only distinct values are sorted, so a value costs as much as any other however often it occurs.
+Joins are between written tables, so adaptive execution can split a hot name; nothing is broadcast
+but what Spark itself finds small.
 
 Defined cases: a null text counts as empty; empty texts are equal to each other; null ids are kept
 and lose ties; repeated rows count one by one, and one of them stays; other columns are ignored.
@@ -15,68 +18,69 @@ and lose ties; repeated rows count one by one, and one of them stays; other colu
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oredock.llm.common import WHITE_CLASS, materialize, read, text_of
+from oredock.llm.common import materialize, read, text_of
+
+BLOCK = 2048
+
 
-BLOCK, HEAVY, BUCKETS = 2048, 1000, 1 << 16
-KEY = ["doc_id", "n_chars", "text_hash"]
+def code_of(value: str) -> Column:
+    return F.xxhash64(value)
 
 
-def name_values(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Replace column `value` by an integer `name`: equal values, and only they, have equal names."""
-    code = F.xxhash64(value)
-    top = rows.groupBy(code.alias("code")).count().orderBy(F.desc("count"), "code").limit(HEAVY)
-    heavy = [r["code"] for r in top.collect() if r["count"] > 16]
-    in_bucket = Window.partitionBy("bucket").orderBy(value)
-    rank = (F.dense_rank().over(in_bucket) - 1).cast("long") * BUCKETS + F.col("bucket")
-    rest = rows.filter(~code.isin(heavy)) if heavy else rows
-    named = rest.withColumn("bucket", F.pmod(code, F.lit(BUCKETS))).withColumn(name, rank).drop("bucket", value)
-    if not heavy:
-        return named
-    often = rows.filter(code.isin(heavy))
-    table = often.select(value).distinct().withColumn(name, -F.row_number().over(Window.orderBy(value)).cast("long"))
-    return named.unionByName(often.join(F.broadcast(table), value).drop(value))
+def name_values(rows: DataFrame, value: str) -> DataFrame:
+    """rows, a written table with `value` and its `code`, with an integer `name` for it: equal values, and only they, share one."""
+    numbered = rows.select("code", value).distinct().sortWithinPartitions(value).withColumn("name", F.monotonically_increasing_id())
+    names = materialize(numbered.select("code", "name"))
+    plain = rows.drop(value)
+    shared = names.groupBy("code").count().filter("count > 1").select("code")
+    if shared.isEmpty():
+        return plain.join(names, "code").drop("code")
+    shared = materialize(shared)
+    mixed = rows.join(shared, "code", "left_semi")
+    own = materialize(mixed.select(value).distinct().withColumn("name", -1 - F.monotonically_increasing_id()))
+    return plain.join(shared, "code", "left_anti").join(names, "code").drop("code").unionByName(mixed.drop("code").join(own, value).drop(value))
 
 
-def _arrays(named: DataFrame, carried: list[Column]) -> DataFrame:
-    """Per document its names in order. Rows repeated in the input have equal entries, so a set will do."""
-    return named.groupBy(*KEY).agg(F.sort_array(F.collect_set(F.struct("at", "name"))).alias("named"), *carried).withColumn("names", F.col("named.name")).drop("named")
+def _arrays(named: DataFrame) -> DataFrame:
+    """Per row its names in order."""
+    return named.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("at", "name")))["name"].alias("names"))
 
 
 def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Per distinct (doc_id, n_chars, text_hash): text_sha256, copies of the row, n_blocks and the final name."""
-    bare = docs.select("doc_id", F.length(text_of()).cast("long").alias("n_chars"), F.regexp_replace(text_of(), f"{WHITE_CLASS}+", "").alias("bare"))
+    """rid (a number for each row), doc_id, n_chars, text_sha256, n_blocks and the final name."""
+    bare = F.translate(text_of(), " \t\n\x0b\x0c\r", "")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.length(text_of()).cast("long").alias("n_chars"), bare.alias("bare"))
     cut = F.when(F.length("bare") <= block, F.array("bare")).otherwise(F.regexp_extract_all("bare", F.lit(f"(?s).{{1,{block}}}"), F.lit(0)))
-    blocks = bare.select("doc_id", "n_chars", F.xxhash64("bare").alias("text_hash"), F.unhex(F.sha2("bare", 256)).alias("sha"), F.posexplode(cut).alias("at", "block"))
-    blocks = blocks.withColumn("sha", F.when(F.col("at") == 0, F.col("sha")))
-    level = materialize(_arrays(name_values(blocks, "block", "name"), [F.max("sha").alias("sha"), F.count_if(F.col("at") == 0).alias("copies")]).withColumn("n_blocks", F.size("names")))
-    done = level.filter(F.size("names") == 1)
+    rows = rows.select("rid", "doc_id", "n_chars", F.sha2("bare", 256).alias("sha"), F.posexplode(cut).alias("at", "block"))
+    first = F.col("at") == 0
+    rows = rows.select("rid", F.when(first, F.struct("doc_id", "n_chars", F.unhex("sha").alias("sha"))).alias("row"), "at", "block", code_of("block").alias("code"))
+    blocks = materialize(rows)
+    level = materialize(_arrays(name_values(blocks.drop("row"), "block")).withColumn("n_blocks", F.size("names")))
+    done = level.filter("n_blocks = 1").select("rid", "n_blocks", F.get("names", F.lit(0)).alias("name"))
     size = level.agg(F.max("n_blocks")).first()[0] or 1
+    sizes, level = level.select("rid", "n_blocks"), level.select("rid", "names")
     while size > 1:
-        more = level.filter(F.size("names") > 1)
-        pair = F.transform(F.sequence(F.lit(0), ((F.size("names") - 1) / 2).cast("int")), lambda i: F.struct(F.element_at("names", 2 * i + 1).alias("a"), F.try_element_at("names", 2 * i + 2).alias("b")))
-        pairs = more.select(*KEY, "sha", "copies", "n_blocks", F.posexplode(pair).alias("at", "pair"))
-        carried = [F.first(c).alias(c) for c in ("sha", "copies", "n_blocks")]
-        level = materialize(_arrays(name_values(pairs, "pair", "name"), carried))
-        done = done.unionByName(level.filter(F.size("names") == 1))
+        places = F.sequence(F.lit(0), ((F.size("names") - 1) / 2).cast("int"))
+        pair = F.transform(places, lambda i: F.struct(F.get("names", 2 * i).alias("a"), F.get("names", 2 * i + 1).alias("b")))
+        pairs = level.filter(F.size("names") > 1).select("rid", F.posexplode(pair).alias("at", "pair")).withColumn("code", code_of("pair"))
+        level = materialize(_arrays(name_values(materialize(pairs), "pair")))
+        whole = level.filter(F.size("names") == 1).select("rid", F.get("names", F.lit(0)).alias("name"))
+        done = done.unionByName(whole.join(sizes, "rid").select("rid", "n_blocks", "name"))
         size = (size + 1) // 2
-    return done.select(*KEY, F.lower(F.hex("sha")).alias("text_sha256"), "copies", "n_blocks", F.element_at("names", 1).alias("name"))
+    heads = blocks.filter("at = 0").select("rid", "row.*")
+    return heads.join(done, "rid").select("rid", "doc_id", "n_chars", F.lower(F.hex("sha")).alias("text_sha256"), "n_blocks", "name")
 
 
 def exact_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (see the module's text)."""
-    named = identities(docs, block)
-    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")))
-    groups = materialize(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.sum("copies").alias("group_size")))
-    large = groups.orderBy(F.desc("group_size"), "n_blocks", "name").limit(HEAVY)  # bounds the broadcast
-    marked = named.join(F.broadcast(large.select("n_blocks", "name", F.col("best").alias("large"), F.col("group_size").alias("size"))), ["n_blocks", "name"], "left")
-    held = marked.filter("size IS NOT NULL").withColumnsRenamed({"large": "best", "size": "group_size"})
-    other = marked.filter("size IS NULL").drop("large", "size").join(groups, ["n_blocks", "name"])
-    rows = held.unionByName(other).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    is_best = F.col("doc_id").eqNullSafe(F.col("best.id")) & (F.col("n_chars") == -F.col("best.less")) & (F.col("text_hash") == F.col("best.hash"))
-    return rows.select("doc_id", F.col("best.id").alias("keep_id"), F.col("group_size").cast("long"), (is_best & (F.col("copy") == 1)).alias("kept"), "text_sha256")
+    named = materialize(identities(docs, block))
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "rid"))
+    groups = materialize(named.groupBy("n_blocks", "name").agg(best.alias("best"), F.count("*").alias("group_size")))
+    rows = named.join(groups, ["n_blocks", "name"])
+    return rows.select("doc_id", F.col("best.id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
