@@ -18,14 +18,19 @@ each written to the shared folder.
 
 Defined cases: a null text counts as empty; texts without words have fingerprint 0, linked like any
 other; repeated rows are rows of their own; null ids are kept, and a component's id is null only if all
-its ids are; keep_one keeps one row of each component, also of repeated rows and null ids; other columns ride along in keep_one.
-
-keep_one with a similarity (the pipeline's stage): fingerprints are over sets of shingles; at the distances
-that a Jaccard similarity of 0.8 gives, equal ranges can't be found for every choice, so fingerprints meet in
-TABLES tables of BITS fixed bits each, are compared bit-sliced with the radius that follows from the
-similarity and by a second fingerprint, and links are checked exactly on the shingle sets. Bounds: a class of texts with more than MOST
-smaller links within the radius has only the MOST nearest of them checked; pairs that no table joins
-or that differ in more bits are missed.
+its ids are; keep_one keeps one row of each component, also of repeated rows and null ids, and all columns.
+
+keep_one with a similarity (the pipeline's stage): a class is the texts of one set of shingles, and has two
+64-bit fingerprints over that set. Ranges of equal bits can't be found at the distances that a Jaccard
+similarity of 0.8 gives, so classes are dealt to buckets by the shingles themselves: in each of TABLES
+tables, by those ROWS of its shingles that have the smallest hashes under ROWS permutations. Two sets of
+similarity s meet with probability 1 - (1 - s ** ROWS) ** TABLES, 0.9996 at 0.8. Those that meet are
+compared bit-sliced, with a radius DEVIATIONS standard deviations over the distance expected at that
+similarity, by both fingerprints, and what is left is checked exactly on the sets of shingles.
+
+Checks come in two rounds, so that a large group of near copies isn't checked pair by pair and no link
+between groups is lost. First, each class is checked with its NEAREST candidates of smaller key. Classes
+that have more are compared again, and what links them to another component is checked, without a limit.
 """
 
 from __future__ import annotations
@@ -41,11 +46,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oredock.llm.common import LOWER, materialize, read, small_batches, text_of
+from oredock.llm.common import LOWER, fold, materialize, read, text_of
 
 WORDS, RADIUS, PARTS, BLOCK, SEED = 3, 3, 5, 4096, 42
-# For a similarity: tables, bits of each, standard deviations of the distance, and links to check of each class.
-TABLES, BITS, DEVIATIONS, MOST = 64, 12, 3, 32
+# For a similarity: tables, shingles of each, standard deviations of the distance, and candidates of the first round.
+TABLES, ROWS, DEVIATIONS, NEAREST, SPLIT = 20, 5, 4, 4, 1024
 LANES = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -224,10 +229,19 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def masks_of(tables: int = TABLES, bits: int = BITS) -> np.ndarray:
-    """One choice of bit positions for each table, from a fixed seed."""
-    rng = np.random.default_rng(SEED)
-    return np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)], dtype=np.uint64)
+def buckets_of(hashes: np.ndarray) -> np.ndarray:
+    """A bucket number for each table: a hash of the table and of the smallest shingles under its permutations; none for an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    odd, plus = again(np.arange(2 * TABLES * ROWS, dtype=np.uint64) + np.uint64(SEED)).reshape(2, -1)
+    least = np.full(TABLES * ROWS, ONES)
+    for at in range(0, len(hashes), 1024):
+        mixed = hashes[at : at + 1024, None] * (odd | np.uint64(1)) + plus
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    key = np.arange(1, TABLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for x in least.reshape(TABLES, ROWS).T:
+        key = again(key ^ x)
+    return key
 
 
 def radius_of(similarity: float, width: int = 64) -> int:
@@ -256,122 +270,158 @@ def again(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def nearest(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, both: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) of links within `radius` by the first and `both` by both fingerprints: for each key a at most the `most` nearest smaller keys b."""
+def nearest(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, roots: np.ndarray, more: np.ndarray | None, groups: np.ndarray, radius: int, both: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of links within `radius` by the first and `both` by both fingerprints, b the smaller key, of different roots.
+
+    With `most`, for each a at most so many nearest b; without, all of those a that `more` marks.
+    """
     left, right = linked(values, groups, radius)
     far = (np.bitwise_count(values[left] ^ values[right]) + np.bitwise_count(seconds[left] ^ seconds[right])).astype(np.int64)
-    left, right, far = left[far <= both], right[far <= both], far[far <= both]
-    a, b = np.maximum(keys[left], keys[right]), np.minimum(keys[left], keys[right])
+    upper, lower = np.where(keys[left] > keys[right], left, right), np.where(keys[left] > keys[right], right, left)
+    stay = (far <= both) & (keys[left] != keys[right]) & (roots[left] != roots[right])
+    if most is None:
+        stay &= more[upper]
+    a, b, far = keys[upper[stay]], keys[lower[stay]], far[stay]
     order = np.lexsort((b, far, a))
     a, b, far = a[order], b[order], far[order]
     fresh = np.ones(len(a), dtype=bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    fresh &= a != b
     a, b, far = a[fresh], b[fresh], far[fresh]
-    stay = np.arange(len(a)) - np.searchsorted(a, a) < most
-    return a[stay], b[stay], far[stay]
-
-
-def near_links(classes: DataFrame, radius: int, both: int, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) of keys to check: fingerprints that meet in a table and differ in at most radius bits, and in `both` with the second ones. classes: key, fp, second."""
-    # small numbers, which shuffle at few bytes
-    keys = F.array(*[F.lit(t << 16) + F.pmod(F.xxhash64(F.col("fp").bitwiseAND(F.lit(int(m)))), F.lit(1 << 16)).cast("int") for t, m in enumerate(masks_of().view(np.int64))])
-    dealt = classes.select("key", "fp", "second", F.explode(keys).alias("bucket"))
-    # sizes, from an eighth of the keys, only decide how a bucket is split; at most one row for each `block` rows
-    counted = dealt.filter(F.pmod("key", F.lit(8)) == 0).groupBy("bucket").agg((8 * F.count("*")).alias("count"))
-    large = counted.filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    parted = dealt.join(F.broadcast(large), "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, F.col("own")) * 32768 + F.greatest(x, F.col("own")))
-    rows = parted.select("bucket", F.explode(pairs).alias("pair"), "key", "fp", "second")
-
-    def edges(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        fp, second, key, group = (np.concatenate(p) for p in zip(*parts))
-        found = nearest(fp.view(np.uint64), second.view(np.uint64), key, group, radius, both, most)
+    if most is not None:
+        stay = np.arange(len(a)) - np.searchsorted(a, a) < most
+        a, b, far = a[stay], b[stay], far[stay]
+    return a, b, far
+
+
+def near_links(classes: DataFrame, radius: int, both: int, most: int | None, block: int = SPLIT) -> DataFrame:
+    """a, b and d: candidates that meet in a bucket and are near by both fingerprints (see nearest).
+
+    classes: bucket, key, fp, second, a row for each class and bucket; in the second round also root and more.
+    """
+    # sizes, from an eighth of the keys, only decide how a bucket is split; at most a row for each `block` rows
+    counted = classes.filter(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).groupBy("bucket").agg((8 * F.count("*")).alias("count"))
+    large = materialize(counted.filter(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    parted = classes.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.least(x, F.col("own")).cast("long") * (1 << 31) + F.greatest(x, F.col("own")))
+    columns = [c for c in classes.columns if c != "bucket"]
+    rows = parted.select("bucket", F.explode(pairs).alias("pair"), *columns)
+
+    def edges(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        own = dict(zip([*columns, "group"], map(np.concatenate, zip(*parts))))
+        _, at, sizes = np.unique(own["group"], return_inverse=True, return_counts=True)
+        own = {c: v[sizes[at] > 1] for c, v in own.items()}
+        key = own["key"]
+        found = nearest(own["fp"].view(np.uint64), own["second"].view(np.uint64), key, own.get("root", key), own.get("more"), own["group"], radius, both, most)
         return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("abd", found)})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, ...]] = []
+        parts: list[list[np.ndarray]] = []
         held, number, last = 0, 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "pair")], axis=1)
-            fp, second, key = (batch.column(c).to_numpy() for c in ("fp", "second", "key"))
+            table = np.stack([batch.column(c).to_numpy() for c in ("bucket", "pair")], axis=1)
+            own = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             change = np.concatenate([[last is None or (table[0] != last).any()], (table[1:] != table[:-1]).any(axis=1)])
-            ids = number + np.cumsum(change)
-            number, last = int(ids[-1]), table[-1]
-            if held >= 16 * block and change.any():  # all groups before this batch's first change are whole
+            own.append(number + np.cumsum(change))
+            number, last = int(own[-1][-1]), table[-1]
+            if held >= 4 * block and change.any():  # all groups before this batch's first change are whole
                 cut = int(np.argmax(change))
-                yield edges([*parts, (fp[:cut], second[:cut], key[:cut], ids[:cut])])
-                parts, held, fp, second, key, ids = [], 0, fp[cut:], second[cut:], key[cut:], ids[cut:]
-            parts.append((fp, second, key, ids))
-            held += len(fp)
+                yield edges([*parts, [x[:cut] for x in own]])
+                parts, held, own = [], 0, [x[cut:] for x in own]
+            parts.append(own)
+            held += len(own[0])
         if held:
             yield edges(parts)
 
-    found = rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(compared, "a long, b long, d long").distinct()
-    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return found.withColumn("place", place).filter(F.col("place") <= most).select("a", "b")
+    return rows.repartition("bucket", "pair").sortWithinPartitions("bucket", "pair").mapInArrow(compared, "a long, b long, d long").distinct()
 
 
-def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """docs, written with __rid (a number for each row); and the __rid of one row of each component.
+@F.arrow_udf(T.BooleanType())
+def are_similar(ones: pa.Array, others: pa.Array, least: pa.Array) -> pa.Array:
+    sets = zip(*(([np.frombuffer(x, np.uint64) for x in v.to_pylist()]) for v in (ones, others)))
+    return pa.array([similarity_of(a, b) >= s for (a, b), s in zip(sets, least.to_pylist())], pa.bool_())
 
-    Classes are texts of one shingle set (__key). Classes whose fingerprints are near are linked if the
-    Jaccard similarity of their texts' shingle sets is at least `similarity`.
-    """
-    small_batches(docs.sparkSession)
+
+def checked(pairs: DataFrame, classes: DataFrame, written: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of classes of which the sets of shingles are similar enough."""
+
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t, words).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    sets.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    wanted = materialize(classes.join(ends, "key").select(F.col("first.rid").alias("rid"), "key"))
+    # a row for each class, so no key of these joins is hot but a class of many pairs, which adaptive execution splits
+    known = materialize(written.select("rid", text_of().alias("t")).join(wanted, "rid").select("key", F.arrow_udf(sets, "binary")("t").alias("s")))
+    one = pairs.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
+    both = one.join(known.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
+    return materialize(both.filter(are_similar("sa", "sb", F.lit(float(similarity)))).select("a", "b"))
+
+
+def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """docs(doc_id, text, row), written with rid, a number for each row; and the rid of the rows that go: all but one of each component."""
 
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingle_set(t, words) for t in texts.cast(pa.binary()).to_pylist()]
         fp, second = (pa.array([fingerprint(hashes(s)) for s in sets], pa.int64()) for hashes in (np.asarray, again))
         key = pa.array([xxhash.xxh64_intdigest(s.astype("<u8").tobytes(), SEED) for s in sets], pa.uint64())
-        return pa.StructArray.from_arrays([fp, second, key.view(pa.int64())], names=["fp", "second", "key"])
-
-    def similar(ones: pa.Array, others: pa.Array) -> pa.Array:
-        pairs = zip(ones.cast(pa.binary()).to_pylist(), others.cast(pa.binary()).to_pylist())
-        return pa.array([similarity_of(shingle_set(a, words), shingle_set(b, words)) >= similarity for a, b in pairs], pa.bool_())
+        buckets = pa.array([buckets_of(s).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([fp, second, key.view(pa.int64()), buckets], names=["fp", "second", "key", "buckets"])
 
     prints.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    similar.__annotations__ = {"ones": pa.Array, "others": pa.Array, "return": pa.Array}
-    print_of, is_similar = F.arrow_udf(prints, "fp long, second long, key long"), F.arrow_udf(similar, "boolean")
-    marked = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()).withColumn("__p", print_of(text_of())))
-    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), F.col("__rid").alias("rid"))
-    classes = materialize(marked.groupBy(F.col("__p.key").alias("key")).agg(F.min("__p.fp").alias("fp"), F.min("__p.second").alias("second"), F.min(ranked).alias("first")))
-    pairs = materialize(near_links(classes.select("key", "fp", "second"), radius_of(similarity), radius_of(similarity, 128)))
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    wanted = classes.join(ends.hint("merge"), "key").select(F.col("first.rid").alias("__rid"), "key")
-    # a row for each class, so no key of these joins is hot but a class of many links, which adaptive execution splits
-    texts = materialize(marked.select("__rid", text_of().alias("t")).join(wanted.hint("merge"), "__rid").select("key", "t"))
-    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("t").alias("ta")).hint("merge"), "a")
-    both = one.join(texts.select(F.col("key").alias("b"), F.col("t").alias("tb")).hint("merge"), "b")
-    roots = components(materialize(both.filter(is_similar("ta", "tb")).select("a", "b")))
-    named = classes.join(roots.hint("merge"), classes.key == roots.node, "left").select("first", F.coalesce("root", "key").alias("root"))
-    return marked, named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("__rid"))
-
-
-def grouped(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
-    """docs with __fp; and for each __fp its __root, the component's smallest, and __component, the smallest id there."""
-    small_batches(docs.sparkSession)
-    # never null, as Spark can then see: a join on it adds no null check, which would fingerprint texts twice
-    marked = docs.withColumn("__fp", F.coalesce(fingerprint_of(text_of()), F.lit(0).cast("long")))
-    prints = materialize(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(prints.select("fp"), radius))
-    named = prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    first = named.groupBy("root").agg(F.min("first_id").alias("__component"))
-    table = materialize(named.join(first, "root").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"), "__component"))
-    return marked, table
+    print_of = F.arrow_udf(prints, "fp long, second long, key long, buckets array<long>")
+    written = materialize(docs.select("*", F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("hash"), print_of(text_of()).alias("p")))
+    ranked = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "rid")
+    rows = written.select("rid", ranked.alias("rank"), "p.*")
+    classes = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("rank").alias("first"), F.min("buckets").alias("buckets"), F.count("*").alias("n")))
+
+    radius, both = radius_of(similarity), radius_of(similarity, 128)
+    found = near_links(classes.select(F.explode("buckets").alias("bucket"), "key", "fp", "second"), radius, both, NEAREST + 1)
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    found = materialize(found.withColumn("place", place).filter(F.col("place") <= NEAREST + 1))
+    pairs = found.filter(F.col("place") <= NEAREST).select("a", "b")
+    links = checked(pairs, classes, written, words, similarity)
+    roots = components(links)
+    full = materialize(found.filter(F.col("place") == NEAREST + 1).select(F.col("a").alias("key")))
+    if not full.isEmpty():
+        labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(full.withColumn("more", F.lit(True)), "key", "left")
+        labelled = materialize(labelled.select("buckets", "key", "fp", "second", F.coalesce("root", "key").alias("root"), F.coalesce("more", F.lit(False)).alias("more")))
+        theirs = materialize(labelled.filter("more").select(F.explode("buckets").alias("bucket")).distinct())
+        again_dealt = labelled.select(F.explode("buckets").alias("bucket"), "key", "fp", "second", "root", "more").join(theirs, "bucket", "left_semi")
+        rest = near_links(again_dealt, radius, both, None).join(pairs, ["a", "b"], "left_anti")
+        links = links.unionByName(checked(materialize(rest), classes, written, words, similarity))
+        roots = components(links)
+    named = classes.select("key", "first", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    stay = named.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("classes"))
+    # only classes of more than one row, or beside others, lose rows
+    several = materialize(named.join(stay, "root").filter("n > 1 OR classes > 1").select("key", F.col("stays.rid").alias("stays")))
+    gone = rows.select("rid", "key").join(several, "key").filter("rid <> stays").select("rid")
+    return written, materialize(gone)
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fp of each row, written once."""
+    return materialize(docs.select("doc_id", fingerprint_of(text_of()).alias("fp")))
+
+
+def grouped(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """For each fp of prints(doc_id, fp) its root, the component's smallest, and component_id, the smallest id there."""
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    roots = components(links(distinct.select("fp"), radius))
+    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return materialize(named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "root", "component_id"))
 
 
 def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The columns of docs, __fp, __root and __component."""
-    marked, table = grouped(docs, radius)
-    return marked.join(table, "__fp")
+    """One row for each of docs: doc_id, fp (64 bits as a signed number), root and component_id."""
+    prints = fingerprints(docs)
+    return prints.join(grouped(prints, radius), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = near_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return docs.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
+    docs = near_groups(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similarity: float | None = None) -> DataFrame:
@@ -380,15 +430,13 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similari
     With a similarity, texts whose shingle sets of so many words have at least that Jaccard similarity are
     linked, and the radius follows from it.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *others).alias("row"))
+    folded, unfold = fold(docs, "doc_id", "text")
     if similarity is None:
-        written = materialize(packed.withColumn("__rid", F.monotonically_increasing_id()))
-        marked, table = grouped(written, radius)
+        written = materialize(folded.withColumn("rid", F.monotonically_increasing_id()).withColumn("fp", fingerprint_of(text_of())))
+        table = grouped(written.select("doc_id", "fp"), radius).withColumnRenamed("fp", "its_fp")
         # joined by fingerprint and id at once: copies share a fingerprint, but no key
-        smallest = marked.join(table, (marked["__fp"] == table["__fp"]) & marked["doc_id"].eqNullSafe(table["__component"]))
-        rows = smallest.groupBy("__root").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "__rid")).alias("first")).select("first.__rid")
-    else:
-        written, rows = similar_rows(packed, words, similarity)
-    one = written.join(rows.hint("merge"), "__rid", "left_semi")
-    return one.select(*[F.col("row")[c].alias(c) if c in others else c for c in docs.columns])
+        smallest = written.join(table, (F.col("fp") == F.col("its_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+        rows = smallest.groupBy("root").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "rid")).alias("first")).select("first.rid")
+        return unfold(written.join(rows, "rid", "left_semi"), {})
+    written, gone = similar_rows(folded, words, similarity)
+    return unfold(written.join(gone, "rid", "left_anti"), {})
