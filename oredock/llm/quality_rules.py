@@ -5,6 +5,8 @@ case) and hashed, are counted per host (the source): the distinct texts that hav
 copies of a document count once. A line in more than max(MOST, SHARE of the host's distinct texts)
 of them is removed, and a document that keeps less than LEAST of its words is depleted.
 
+Lines are written once, by 128-bit hashes of line and text.
+
 Skew: lines are counted by (host, line) after partial aggregation. The removed lines, and the words that
 each text loses, are written to the shared folder before they are joined back: with no aggregation between
 shuffle and join, adaptive execution can split a hot line or a hot group of copies.
@@ -30,12 +32,12 @@ def words_of(text: Column | str) -> Column:
 
 
 def text_rules(docs: DataFrame) -> DataFrame:
-    """doc_id, host, text_hash and the counts and base_failed of the rules on the text alone."""
+    """doc_id, host, the text's hashes and the counts and base_failed of the rules on the text alone."""
     rows = docs.select("doc_id", F.xxhash64("source").alias("host"), text_of().alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(WORD_CLASS)))
     bare = F.regexp_replace("text", f"{WHITE_CLASS}+", "")
     plain = F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))
-    rows = rows.select("doc_id", "host", F.xxhash64("text").alias("text_hash"), words_of("text").alias("words"), lines.alias("lines"), F.length(bare).alias("word_chars"), plain.alias("n_symbols"))
+    rows = rows.select("doc_id", "host", *text_hashes("text"), words_of("text").alias("words"), lines.alias("lines"), F.length(bare).alias("word_chars"), plain.alias("n_symbols"))
     windows = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
     rows = rows.withColumn("n_dup_lines", F.size("lines") - F.size(F.array_distinct("lines"))).withColumn("windows", F.when(F.size("words") >= 3, windows).otherwise(F.array().cast("array<bigint>"))).withColumn("n_words", F.size("words")).drop("words", "lines")
     again = F.size("windows") > F.size(F.array_distinct("windows"))
@@ -45,28 +47,41 @@ def text_rules(docs: DataFrame) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.transform(twice, lambda i: F.array(i, i + 1, i + 2)))))
     rows = rows.withColumn("n_repeat_words", F.when(F.col("sorted").isNotNull(), covered).otherwise(0))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return rows.select("doc_id", "host", "text_hash", *counts).withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
+    return rows.select("doc_id", "host", "text_hash", "text_more", *counts).withColumn("base_failed", (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words")))
 
 
-def removed_words(docs: DataFrame, most: int = MOST, share: float = SHARE) -> DataFrame:
-    """(host, text_hash) and removed, the words of its lines that are too frequent at the host."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """host, text_hash and, for each line with a word, line (two hashes of it) and words. A text without such lines has one row of nulls."""
     rows = docs.select(F.xxhash64("source").alias("host"), text_of().alias("text"))
-    line = lambda x: F.lower(F.trim(F.regexp_replace(x, f"{WHITE_CLASS}+", " ")))
-    parts = F.transform(F.split("text", "\n"), lambda x: line(x))
-    found = F.filter(F.transform(parts, lambda x: F.struct(F.xxhash64(x).alias("line"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words"))), lambda s: s["words"] > 0)
-    lines = rows.select("host", F.xxhash64("text").alias("text_hash"), F.posexplode(found).alias("at", "s")).select("host", "text_hash", "at", "s.line", "s.words").distinct()
-    texts = rows.select("host", F.xxhash64("text").alias("text_hash")).distinct().groupBy("host").agg(F.greatest(F.lit(float(most)), share * F.count("*")).alias("most"))
-    used = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > most)
+    folded = F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(F.regexp_replace(x, f"{WHITE_CLASS}+", " "))))
+    named = F.transform(folded, lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.lit(1), x).alias("two"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).alias("words")))
+    found = F.filter(named, lambda s: s["words"] > 0)
+    at = rows.select("host", *text_hashes("text"), F.posexplode_outer(found).alias("at", "s"))
+    return at.select("host", "text_hash", "text_more", "at", F.when(F.col("s").isNotNull(), F.struct("s.one", "s.two")).alias("line"), "s.words").distinct()
+
+
+def text_hashes(text: str) -> list[Column]:
+    """128 bits that stand for a text: copies share them."""
+    return [F.xxhash64(text).alias("text_hash"), F.xxhash64(F.lit(1), F.col(text)).alias("text_more")]
+
+
+def removed_words(docs: DataFrame, most: int = MOST, share: float = SHARE) -> DataFrame:
+    """(host, text_hash, text_more) and removed, the words of its lines that are too frequent at the host."""
+    all_lines = materialize(lines_of(docs))
+    lines = all_lines.filter("line IS NOT NULL")
+    key = ["host", "text_hash", "text_more"]
+    texts = all_lines.select(*key).distinct().groupBy("host").agg(F.greatest(F.lit(float(most)), share * F.count("*")).alias("most"))
+    used = lines.select(*key, "line").distinct().groupBy("host", "line").agg(F.count("*").alias("texts")).filter(F.col("texts") > most)
     frequent = materialize(used.join(texts, "host").filter(F.col("texts") > F.col("most")).select("host", "line"))
-    return lines.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed"))
+    return lines.join(frequent, ["host", "line"]).groupBy(*key).agg(F.sum("words").alias("removed"))
 
 
 def judge(docs: DataFrame, most: int = MOST, share: float = SHARE, least: float = LEAST) -> DataFrame:
     """One row per document: doc_id, the counts, base_failed, removed words and kept."""
     gone = materialize(removed_words(docs, most, share))
-    rows = text_rules(docs).join(gone, ["host", "text_hash"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
+    rows = text_rules(docs).join(gone, ["host", "text_hash", "text_more"], "left").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long"))
     depleted = F.col("n_words") - F.col("n_removed_words") < F.lit(least) * F.col("n_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "text_hash", "removed")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("host", "text_hash", "text_more", "removed")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
