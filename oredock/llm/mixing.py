@@ -14,7 +14,7 @@ table of rates has one row for each weight and one more: its broadcast is bounde
 
 Defined cases: a null or empty text has no characters; a null doc_id draws like the text "null";
 repeated rows draw alike; a source of weight zero disappears; a source without characters gets rate 0.
-Columns of the input whose names clash with copy, copies or shuffle_key are replaced.
+Columns of the input named copy, copies or shuffle_key are replaced; any other rides along.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oredock.llm.common import read, text_of
+from oredock.llm.common import fold, materialize, read, text_of
 
 OTHER, PART = "*", 32.0
 #: Production weights: three times as much of the first five sources as of others.
@@ -59,16 +59,22 @@ def rates(docs: DataFrame, weights: dict[str, float], growth: float = 1.0) -> Da
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, seed: str = SEED, growth: float = 1.0) -> DataFrame:
     """The columns of docs, one row per copy, with copies, copy (from 1) and shuffle_key; order by shuffle_key."""
     names = [k for k in weights if k != OTHER]
-    plain = docs.drop("copies", "copy", "shuffle_key", "__pool", "__id")
-    pool = F.when(F.col("source").isin(names), F.col("source")).otherwise(OTHER)
-    table = rates(docs, weights, growth).select(F.col("pool").alias("__pool"), F.col("draws").alias("__draws"), F.col("cdf").alias("__cdf"))
+    plain, unfold = fold(docs, "doc_id", "text", "source")
+    table = materialize(rates(plain, weights, growth).select("pool", "rate", "draws", "cdf"))  # a row for each weight and one more
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = F.aggregate(F.sequence(F.lit(1), F.col("__draws")), F.lit(0), lambda n, i: n + F.size(F.filter("__cdf", lambda c: c <= uniform(F.lit(seed), F.col("__id"), i.cast("string")))))
-    rows = plain.withColumn("__pool", pool).withColumn("__id", own).join(F.broadcast(table), "__pool")
-    rows = rows.withColumn("copies", drawn.cast("long")).filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), F.col("__id"), F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("shuffle_key", key).drop("__pool", "__id", "__draws", "__cdf")
-    return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    draws = F.transform(F.sequence(F.lit(1), F.col("draws")), lambda i: uniform(F.lit(seed), own, i.cast("string")))
+    drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u)))
+    pool = F.when(F.col("source").isin(names), F.col("source")).otherwise(OTHER)
+    rows = plain.withColumn("pool", pool).join(F.broadcast(table), "pool").withColumn("copies", drawn.cast("long")).filter("copies > 0")
+    first, last = F.lit(1).cast("long"), F.col("copies")
+    if (table.agg(F.max("rate")).first()[0] or 0) > PART:
+        # a small source of a large weight: its rows are dealt out before they multiply, a few copies at a time
+        rows = rows.withColumn("from", F.explode(F.sequence(first, last, F.lit(int(PART)).cast("long")))).repartition(F.xxhash64("doc_id", "text", "from"))
+        first, last = F.col("from"), F.least(last, F.col("from") + int(PART) - 1)
+    rows = rows.withColumn("copy", F.explode(F.sequence(first, last)))
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), own, F.col("copy").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = rows.select(*plain.columns, "copies", "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return unfold(rows, {c: F.col(c) for c in ("copies", "copy", "shuffle_key")})
 
 
 def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
