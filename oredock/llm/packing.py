@@ -3,10 +3,11 @@
 Documents become pieces of at most `size` tokens, written once to the shared folder. Only the histogram
 of piece lengths (at most `size` numbers, whatever the input) goes to the driver. There:
 
-* reduction: a set of lengths that provably dominates every other way to fill the bin of its largest
-  member is fixed for good, as often as the histogram allows, which shrinks the instance: a length and
-  its exact complement; a length that nothing fits beside; a length and the largest one that fits
-  where no two fit; a length and two others where no three fit and each is the largest it could be;
+* reduction: a set of lengths that provably dominates every other way to fill the bin of one of its
+  members is fixed for good, as often as the histogram allows, which shrinks the instance: a length and
+  its exact complement; then for every length from the largest down, until a whole pass fixes nothing:
+  it alone where nothing fits beside it; it and the largest one that fits where no two fit; it and two
+  others where no three fit and each is the largest it could be;
 * the rest is packed best-fit decreasing: bins of equal room form classes, and a run of equal lengths
   goes to the class with the least room that fits.
 
@@ -14,7 +15,7 @@ A piece that fills a sequence dominates whatever else could fill it: it stays wh
 sequence of its own (numbers below 0) and takes no part in what follows, so it isn't shuffled.
 
 The plan says, for each length and range of ranks, where these pieces go. Ranks are numbered within
-(length, slice of a hash of the id), so neither a frequent length nor a long document is one task's;
+(length, slice), and pieces are dealt to slices in turn, so neither a frequent length nor repeated rows are one task's;
 the slices' sizes are at most size * SLICES numbers.
 
 Defined cases: a null text counts as empty and is one piece with the end token; very long documents
@@ -25,80 +26,45 @@ columns are left out.
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oredock.llm.common import materialize, read, text_of
 
-SIZE, END, SLICES, CACHE, LONGEST = 1024, 2, 256, 300_000, 64
+SIZE, END, SLICES = 1024, 2, 256
 SPECIAL = "<|endoftext|>"
 
 
 class Tokens:
-    """Token ids of whole texts as bytes of little-endian uint32.
+    """Token ids of whole texts."""
 
-    The byte-level pattern always starts a new word at a blank before a character that is no white
-    space, so the pieces between such blanks can be looked up one by one.
-    """
-
-    blank = re.compile(r" (?=\s|$)")
-
-    def __init__(self, ranks: str, pattern: str, special: dict[str, int], limit: int = CACHE):
+    def __init__(self, ranks: str, pattern: str, special: dict[str, int]):
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
-        self.limit, self.special, outer = limit, tuple(special), self
-
-        class Known(dict):
-            def __missing__(self, piece: str) -> bytes:
-                ids = outer._encode(" " + piece)
-                if len(self) < outer.limit and len(piece) <= LONGEST:
-                    self[piece] = ids
-                return ids
-
-        self.known = Known()
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.encoding.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):  # blanks before a special token are one run
-            return self._encode(text)
-        if self.blank.search(text):
-            pieces = self._pieces(text)
-        else:
-            pieces = text.split(" ")
-        return self._encode(pieces[0]) + b"".join(map(self.known.__getitem__, pieces[1:])) if pieces else b""
-
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        out: list[str] = []
-        for i, p in enumerate(text.split(" ")):
-            if i and (not p or p[0].isspace()):
-                out[-1] += " " + p
-            else:
-                out.append(p)
-        return out
+
+    def __call__(self, text: str) -> np.ndarray:
+        return self.encoding.encode_to_numpy(text, allowed_special="all")
 
 
 def tokenized(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
-    """Pieces: doc_id, piece, start, length and ids."""
+    """Pieces: doc_id, piece, start, length, slice (pieces are dealt out to slices in turn), ids_crc32 and ids (little-endian, four bytes each)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Tokens(ranks, pattern, special)
+        encode, count = Tokens(ranks, pattern, special), TaskContext.get().partitionId()
         for batch in batches:
             owner, number, start, length, parts = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text) + end.to_bytes(4, "little")
+                ids = np.append(encode(text), np.uint32(end)).astype("<u4").tobytes()
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     step = (n - at) % size or size
@@ -106,14 +72,22 @@ def tokenized(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int]
                     number.append(k)
                     start.append(at)
                     length.append(step)
+                    parts.append(ids[4 * at : 4 * (at + step)])
                     at, k = at + step, k + 1
-                parts.append(ids)
-            values = pa.array(np.frombuffer(b"".join(parts), dtype="<i4"))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, values)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids": lists})
+            crc = pa.array([zlib.crc32(p) for p in parts], pa.int64())
+            dealt = pa.array(((count + np.arange(len(parts))) % SLICES).astype(np.int32))
+            count += len(parts)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())), "piece": pa.array(number, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "slice": dealt, "ids_crc32": crc, "ids": pa.array(parts, pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, slice int, ids_crc32 long, ids binary")
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids array<int>")
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def as_array(ids: pa.Array) -> pa.Array:
+    whole = ids.cast(pa.large_binary())
+    values = np.frombuffer(b"".join(whole.to_pylist()), "<i4")
+    sizes = np.array([len(x) // 4 for x in whole.to_pylist()])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
 class Plan:
@@ -163,26 +137,29 @@ class Plan:
             other = self.size - x
             if self.left[x] >= 1 + (x == other) and self.left[other]:
                 self._fix([other, x])
-        while True:
-            x = self._largest(self.size, [])
-            if not x:
-                return
-            room = self.size - x
-            best = self._largest(room, [x])
-            if not best:
-                self._fix([x])
-                continue
-            low = self._smallest([x], 3)
-            two = len(low) > 1 and low[0] + low[1] <= room
-            if not two:
-                self._fix([x, best])
-                continue
-            three = len(low) > 2 and sum(low) <= room
-            second = self._largest(room - best, [x, best])
-            if not three and second and second >= self._largest(room // 2, [x, best]):
-                self._fix([x, best, second])
-                continue
-            return
+        before = -1
+        while self.fixed > before:  # until a whole pass fixes nothing
+            before = self.fixed
+            for x in range(self.size, 0, -1):
+                while self.left[x] and self._dominated(x):
+                    pass
+
+    def _dominated(self, x: int) -> bool:
+        """Fix the set that dominates all others with an item of length x, if one is found."""
+        room = self.size - x
+        best = self._largest(room, [x])
+        if not best:
+            self._fix([x])
+            return True
+        low = self._smallest([x], 3)
+        if len(low) < 2 or low[0] + low[1] > room:  # no two fit beside it
+            self._fix([x, best])
+            return True
+        second = self._largest(room - best, [x, best])
+        if (len(low) < 3 or sum(low) > room) and second and second >= self._largest(room // 2, [x, best]):  # no three fit
+            self._fix([x, best, second])
+            return True
+        return False
 
     def _best_fit(self) -> None:
         classes: list[list[tuple[int, int]]] = [[] for _ in range(self.size + 1)]  # by room: (first bin, bins)
@@ -220,10 +197,28 @@ class Plan:
         return table[:, 0].copy(), table[:, 1].copy(), table[:, 2].copy(), table[:, 3].copy()
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids, sequence_id and offset."""
-    pieces = materialize(tokenized(docs, ranks, pattern, special, size, end)).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
-    full = pieces.filter(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+def scattered(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers, distinct as before, in an order that looks random."""
+    x = numbers.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], size: int = SIZE, end: int = END, scatter: bool = False) -> DataFrame:
+    """One row per piece: doc_id, piece, start, length, ids_crc32, ids, sequence_id and offset.
+
+    Sequences are numbered as they are planned, or, with scatter, so that the order of the numbers is a
+    shuffle of the sequences.
+    """
+    pieces = materialize(tokenized(docs, ranks, pattern, special, size, end))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+
+    @F.arrow_udf(T.LongType())
+    def own_number(row: pa.Array) -> pa.Array:
+        return pa.array(scattered(-1 - row.to_numpy()))
+
+    row = F.monotonically_increasing_id()
+    full = pieces.filter(F.col("length") == size).select(*columns, row.alias("row")).select(*columns, (own_number("row") if scatter else -1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     pieces = pieces.filter(F.col("length") < size)
     counted = pieces.groupBy("length", "slice").count().toPandas()  # at most size * SLICES rows
     grid = np.zeros((size + 1, SLICES), dtype=np.int64)
@@ -235,12 +230,14 @@ def pack(docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], siz
     def place(length: pa.Array, part: pa.Array, number: pa.Array) -> pa.Array:
         x = length.to_numpy(zero_copy_only=False).astype(np.int64)
         rank = base[x, part.to_numpy(zero_copy_only=False)] + number.to_numpy(zero_copy_only=False) - 1
-        row = np.searchsorted(keys, x << 44 | rank, side="right") - 1
-        return pa.StructArray.from_arrays([pa.array(first_bin[row] + rank - first_rank[row]), pa.array(offsets[row])], ["sequence_id", "offset"])
+        at = np.searchsorted(keys, x << 44 | rank, side="right") - 1
+        sequence = first_bin[at] + rank - first_rank[at]
+        return pa.StructArray.from_arrays([pa.array(scattered(sequence) if scatter else sequence), pa.array(offsets[at])], ["sequence_id", "offset"])
 
     own = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
     placed = pieces.withColumn("number", F.row_number().over(own)).withColumn("place", place("length", "slice", "number"))
-    return placed.select("doc_id", "piece", "start", "length", "ids", "place.sequence_id", "place.offset").unionByName(full)
+    rows = placed.select(*columns, "place.sequence_id", "place.offset").unionByName(full)
+    return rows.withColumn("ids", as_array("ids"))
 
 
 def public_tokens() -> tuple[str, str, dict[str, int]]:
@@ -250,11 +247,6 @@ def public_tokens() -> tuple[str, str, dict[str, int]]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, {SPECIAL: 50256}
 
 
-@F.arrow_udf(T.LongType())
-def crc_of(ids: pa.Array) -> pa.Array:
-    return pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in ids], pa.int64())
-
-
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = pack(read(spark, sf_dir, "documents"), *public_tokens())
-    return packed.select("doc_id", "piece", "start", "length", crc_of("ids").alias("ids_crc32"), "sequence_id", "offset")
+    # without the ids, which then aren't shuffled
+    return pack(read(spark, sf_dir, "documents"), *public_tokens()).drop("ids")
