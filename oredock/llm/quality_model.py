@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oredock.llm.common import held_out, materialize, read, text_of
+from oredock.llm.common import fold, held_out, materialize, read, text_of
 
 SAMPLE, TREES, DEPTH, LASSO, CUT = 20_000, 24, 3, 0.001, 0.3
 STATS = ["words", "chars_per_word", "symbols", "upper", "digits", "marks", "bars", "ends", "distinct_words", "same_as_last", "words_per_line", "distinct_lines", "wide", "long_words"]
@@ -115,10 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, trees: int = T
 
 def scored(docs: DataFrame, model: RuleModel, cut: float = CUT) -> DataFrame:
     """The columns of docs, held_out, score and predicted."""
-    plain = docs.drop("held_out", "score", "predicted", "__s")
-    inner = RuleModel(model.intercept, [(tuple((f"__s.{s}", op, v) for s, op, v in r), w) for r, w in model.weights])
-    rows = plain.withColumn("__s", statistics_of(text_of())).withColumn("score", inner.score()).drop("__s")
-    return rows.withColumn("held_out", held_out("doc_id", 5, 0)).withColumn("predicted", (F.col("score") >= cut).cast("int"))
+    folded, unfold = fold(docs, "doc_id", "text")
+    inner = RuleModel(model.intercept, [(tuple((f"s.{s}", op, v) for s, op, v in r), w) for r, w in model.weights])
+    rows = folded.withColumn("s", statistics_of(text_of())).withColumn("score", inner.score())
+    return unfold(rows, {"held_out": held_out("doc_id", 5, 0), "score": F.col("score"), "predicted": (F.col("score") >= cut).cast("int")})
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,4 +129,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """The columns of docs, without the documents that the classifier rejects."""
-    return scored(docs, fit(docs, labels), cut).filter("predicted = 1").select(*docs.columns)
+    folded, unfold = fold(docs, "doc_id", "text")
+    return unfold(scored(folded, fit(docs, labels), cut).filter("predicted = 1"), {})

@@ -47,5 +47,5 @@ def wide(odd):
     """Extra columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["name", "at", "names", "copies", "block", "bucket", "score", "predicted", "n_lines", "fp", "key", "line", "copy", "kept", "host", "slice", "words", "__key", "shuffle_key", "path_x"]
+    names = ["name", "at", "names", "copies", "block", "bucket", "score", "predicted", "n_lines", "fp", "key", "line", "copy", "kept", "host", "slice", "words", "__key", "shuffle_key", "path_x", "__draws", "__cdf", "__frequent", "__kept", "__root", "__component", "__pool", "__id", "__rid", "__fp", "row", "group", "pool", "draws", "cdf", "rate", "from", "root", "component_id", "rid", "p", "hash", "trains", "terms", "lines", "part", "width", "c0", "_", "sequence_id", "n.x"]
     return odd.select("*", *[F.lit(1).alias(n) for n in names])

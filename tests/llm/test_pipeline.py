@@ -1,29 +1,147 @@
 """The pipeline's stages, each against a plain version on its own input; queries against their SQL."""
 
-import os
+import hashlib
+import math
+import re
 import sys
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+
+from oredock.llm import mixing, quality_model
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 DATA = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
+WHITE = " \t\n\r\x0b\x0c"
+
+
+def low(s):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", low(text or ""))
+
+
+def rows_of(docs):
+    return [r.asDict() for r in docs.collect()]
+
+
+def plain_quality(spark, docs, rows):
+    model = quality_model.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"))
+
+    def score(text):
+        stats = dict(zip(quality_model.STATS, quality_model.statistics((text or "").encode())))
+        return model.intercept + sum(w for rule, w in model.weights if all(stats[s] <= v if op == "<=" else stats[s] > v for s, op, v in rule))
+
+    return [r for r in rows if 1 / (1 + math.exp(-score(r["text"]))) >= 0.3]
+
+
+def plain_lines(rows):
+    key = lambda x: low(x.strip(WHITE))
+    seen = Counter(k for r in rows for k in {key(x) for x in (r["text"] or "").split("\n")} if k)
+    out = []
+    for r in rows:
+        text = "\n".join(x for x in (r["text"] or "").split("\n") if not key(x) or seen[key(x)] < 10)
+        out.append(r | {"text": text, "n_chars": len(text)})
+    return out
+
+
+def plain_near(rows):
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w) for w in (words(r["text"]) for r in rows)]
+    root = list(range(len(rows)))
+    before = None
+    while root != before:
+        before = root[:]
+        for i, a in enumerate(sets):
+            for j in range(i):
+                b = sets[j]
+                if root[i] != root[j] and (a == b or len(a & b) >= 0.8 * len(a | b) > 0):
+                    root[i] = root[j] = min(root[i], root[j])
+    groups = defaultdict(list)
+    for r, g in zip(rows, root):
+        groups[g].append(r)
+    return [min(g, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)) for g in groups.values()]
+
+
+def plain_mix(rows):
+    pool = lambda r: r["source"] if r["source"] in mixing.WEIGHTS else mixing.OTHER
+    chars = Counter()
+    for r in rows:
+        chars[pool(r)] += len(r["text"] or "")
+    weight = {k: mixing.WEIGHTS[k] for k, n in chars.items() if n}
+    out = []
+    for r in rows:
+        k = pool(r)
+        rate = sum(chars.values()) * weight[k] / sum(weight.values()) / chars[k] if k in weight else 0
+        parts = max(1, math.ceil(rate / mixing.PART))
+        copies = 0
+        for i in range(1, parts + 1):
+            u = int(hashlib.md5(f"{mixing.SEED}|{'null' if r['doc_id'] is None else r['doc_id']}|{i}".encode()).hexdigest()[:13], 16) / 2**52
+            p = c = math.exp(-rate / parts)
+            n = 0
+            while c <= u:
+                n += 1
+                p *= rate / parts / n
+                c += p
+            copies += n
+        out += [r] * copies
+    return out
+
+
+def same_rows(a, b):
+    key = lambda r: tuple(sorted((k, str(v)) for k, v in r.items()))
+    assert Counter(map(key, a)) == Counter(map(key, b))
+
+
+@pytest.mark.parametrize("odd_rows", [False, True])
+def test_stages_against_plain_versions(spark, odd, odd_rows):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as p
+    import public_tokenizers
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns, kept = docs.columns, [docs.count()]
+    if odd_rows:  # nulls, empty and long texts, repeats, clashing names; the classifier has no labels of their ids
+        docs = odd.filter("doc_id IS NULL OR doc_id <> 8").withColumn("rid", F.lit(1)).withColumn("n.x", F.lit("x"))
+    plain = {"quality": lambda rows: plain_quality(spark, docs, rows), "line_dedup": plain_lines, "simhash": plain_near, "mixing": plain_mix}
     for name, stage in p.STAGES[:-1]:
+        want = plain[name](rows_of(docs))
         docs = p.materialize(stage(spark, docs, DATA))
-        assert docs.columns == columns
-        kept.append(docs.count())
-    assert kept[0] > kept[1] == kept[2] > kept[3] > 0
-    packed = p.STAGES[-1][1](spark, docs, DATA)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+        got = rows_of(docs)
+        if name == "simhash" and odd_rows:  # rows alike in their words may differ in white space
+            assert Counter(tuple(words(r["text"])) for r in got) == Counter(tuple(words(r["text"])) for r in want)
+        else:
+            same_rows(got, want)
+        assert got
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter()
+    for r in rows_of(docs):
+        ids = encoder.encode(r["text"] or "", add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        want.update(tuple(ids[max(0, e - 1024) : e]) for e in range(first, len(ids) + 1, 1024))
+    packed = p.STAGES[-1][1](spark, docs, DATA).collect()
+    assert Counter(tuple(r.ids) for r in packed) == want
+    places = defaultdict(list)
+    for r in packed:
+        places[r.sequence_id].append((r.offset, r.length))
+    for s in places.values():
+        assert [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 1024
+    assert len(places) <= sum(map(len, want.elements())) / 1024 * 1.05 + 1
+
+
+def test_stages_of_an_empty_table(spark, none):
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        docs = stage(spark, none, DATA)
+        assert docs.count() == 0 and (name == "packing" or docs.columns == none.columns)
 
 
 @pytest.mark.parametrize("name", ["op3_quality_rules", "op5_line_dedup", "op6_licenses", "op7_exact_dedup", "op9_poisson_mixing"])
