@@ -1,11 +1,18 @@
-"""Corpus preparation: quality filter, line deduplication, near-deduplication, mixing, packing."""
+"""Corpus preparation: quality filter, line deduplication, near-deduplication, mixing, packing.
+
+Each stage but the last returns the columns of documents and works on all that the one before kept; other
+columns, of any name, ride along. Defined cases: a null or empty text has no words, and the classifier
+decides on it like on any other; null ids are kept, and of rows alike in all but a null id one stays after
+near-deduplication; repeated rows go through every stage like different ones, and near-deduplication leaves one
+of them; an empty table gives an empty table from each stage. n_chars follows the text where lines are dropped.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from oredock.llm import line_dedup, mixing, packing, quality_model, simhash
-from oredock.llm.common import materialize, read
+from oredock.llm.common import fold, materialize, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,16 +32,17 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated, or left out, to reach the target weights; then all are shuffled."""
-    return mixing.mix(docs).select(*docs.columns)
+    folded, unfold = fold(docs, "doc_id", "text", "source")
+    return unfold(mixing.mix(folded), {})
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece, with its ids and its place."""
-    return packing.pack(docs, *packing.public_tokens())
+    """Token sequences: one row per piece, with its ids and its place. The order of sequence_id is a shuffle of the sequences."""
+    return packing.pack(docs, *packing.public_tokens(), scatter=True)
 
 
 STAGES = [("quality", quality_stage), ("line_dedup", lines_stage), ("simhash", near_stage), ("mixing", mix_stage), ("packing", pack_stage)]
-#: Fitted and iterative stages have no SQL; tests check each stage against a plain version.
+#: Fitted and iterative stages have no SQL; tests/llm/test_pipeline.py checks each stage against a plain version.
 ORACLE_SQL = None
 
 
