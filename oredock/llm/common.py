@@ -51,6 +51,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def bounded(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of few narrow columns, marked for a broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fold(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame, dict[str, Column]], DataFrame]]:
     """docs as the columns `own` (null where docs lacks one) and `row`, which holds all others: no name of theirs clashes.
 

@@ -28,9 +28,11 @@ similarity s meet with probability 1 - (1 - s ** ROWS) ** TABLES, 0.9996 at 0.8.
 compared bit-sliced, with a radius DEVIATIONS standard deviations over the distance expected at that
 similarity, by both fingerprints, and what is left is checked exactly on the sets of shingles.
 
-Checks come in two rounds, so that a large group of near copies isn't checked pair by pair and no link
-between groups is lost. First, each class is checked with its NEAREST candidates of smaller key. Classes
-that have more are compared again, and what links them to another component is checked, without a limit.
+Checks come in two rounds, so that a large group of near copies isn't written out pair by pair and no link
+between components is lost. First, each class is checked with its NEAREST candidates of smaller key. If
+some have more, those of their buckets that hold several components are compared again, now with the sets
+of shingles at hand: all candidates of different components are checked, and a task returns a forest of the
+links that it finds.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oredock.llm.common import LOWER, fold, materialize, read, text_of
+from oredock.llm.common import LOWER, bounded, fold, materialize, read, text_of
 
 WORDS, RADIUS, PARTS, BLOCK, SEED = 3, 3, 5, 4096, 42
 # For a similarity: tables, shingles of each, standard deviations of the distance, and candidates of the first round.
@@ -270,33 +272,60 @@ def again(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def nearest(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, roots: np.ndarray, more: np.ndarray | None, groups: np.ndarray, radius: int, both: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, distance) of links within `radius` by the first and `both` by both fingerprints, b the smaller key, of different roots.
-
-    With `most`, for each a at most so many nearest b; without, all of those a that `more` marks.
-    """
+def near_pairs(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, both: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indexes of pairs within `radius` by the first and `both` by both fingerprints, the larger key first, and their distance."""
     left, right = linked(values, groups, radius)
     far = (np.bitwise_count(values[left] ^ values[right]) + np.bitwise_count(seconds[left] ^ seconds[right])).astype(np.int64)
-    upper, lower = np.where(keys[left] > keys[right], left, right), np.where(keys[left] > keys[right], right, left)
-    stay = (far <= both) & (keys[left] != keys[right]) & (roots[left] != roots[right])
-    if most is None:
-        stay &= more[upper]
-    a, b, far = keys[upper[stay]], keys[lower[stay]], far[stay]
+    stay = (far <= both) & (keys[left] != keys[right])
+    left, right, far = left[stay], right[stay], far[stay]
+    larger = keys[left] > keys[right]
+    return np.where(larger, left, right), np.where(larger, right, left), far
+
+
+def nearest(values: np.ndarray, seconds: np.ndarray, keys: np.ndarray, groups: np.ndarray, radius: int, both: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, distance) of candidates: for each key a at most the `most` nearest smaller keys b."""
+    upper, lower, far = near_pairs(values, seconds, keys, groups, radius, both)
+    a, b = keys[upper], keys[lower]
     order = np.lexsort((b, far, a))
     a, b, far = a[order], b[order], far[order]
     fresh = np.ones(len(a), dtype=bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     a, b, far = a[fresh], b[fresh], far[fresh]
-    if most is not None:
-        stay = np.arange(len(a)) - np.searchsorted(a, a) < most
-        a, b, far = a[stay], b[stay], far[stay]
-    return a, b, far
+    stay = np.arange(len(a)) - np.searchsorted(a, a) < most
+    return a[stay], b[stay], far[stay]
+
+
+def confirmed(own: dict[str, np.ndarray], radius: int, both: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links (a, b) of keys between different roots: candidates of which the larger key has `more`, checked by their sets."""
+    upper, lower, far = near_pairs(own["fp"].view(np.uint64), own["second"].view(np.uint64), own["key"], own["group"], radius, both)
+    open_ = own["more"][upper] & (own["root"][upper] != own["root"][lower])
+    order = np.argsort(far[open_], kind="stable")
+    upper, lower, sets, above = upper[open_][order], lower[open_][order], {}, {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    def set_of(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.frombuffer(own["s"][i], np.uint64)
+        return sets[i]
 
+    found = []
+    for i, j, x, y in zip(upper.tolist(), lower.tolist(), own["root"][upper].tolist(), own["root"][lower].tolist()):
+        x, y = top(x), top(y)
+        if x != y and similarity_of(set_of(i), set_of(j)) >= similarity:
+            above[max(x, y)] = min(x, y)
+            found.append((i, j))
+    at = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return own["key"][at[:, 0]], own["key"][at[:, 1]]
 
-def near_links(classes: DataFrame, radius: int, both: int, most: int | None, block: int = SPLIT) -> DataFrame:
-    """a, b and d: candidates that meet in a bucket and are near by both fingerprints (see nearest).
 
-    classes: bucket, key, fp, second, a row for each class and bucket; in the second round also root and more.
+def near_links(classes: DataFrame, radius: int, both: int, similarity: float, most: int | None = None, block: int = SPLIT) -> DataFrame:
+    """a, b and d: candidates that meet in a bucket and are near by both fingerprints (see nearest); without `most`, links (see confirmed).
+
+    classes: bucket, key, fp, second, a row for each class and bucket; without `most` also root, more and s.
     """
     # sizes, from an eighth of the keys, only decide how a bucket is split; at most a row for each `block` rows
     counted = classes.filter(F.pmod(F.xxhash64("key"), F.lit(8)) == 0).groupBy("bucket").agg((8 * F.count("*")).alias("count"))
@@ -310,8 +339,11 @@ def near_links(classes: DataFrame, radius: int, both: int, most: int | None, blo
         own = dict(zip([*columns, "group"], map(np.concatenate, zip(*parts))))
         _, at, sizes = np.unique(own["group"], return_inverse=True, return_counts=True)
         own = {c: v[sizes[at] > 1] for c, v in own.items()}
-        key = own["key"]
-        found = nearest(own["fp"].view(np.uint64), own["second"].view(np.uint64), key, own.get("root", key), own.get("more"), own["group"], radius, both, most)
+        if most is None:
+            links_found = confirmed(own, radius, both, similarity)
+            found = (*links_found, np.zeros(len(links_found[0]), np.int64))
+        else:
+            found = nearest(own["fp"].view(np.uint64), own["second"].view(np.uint64), own["key"], own["group"], radius, both, most)
         return pa.RecordBatch.from_pydict({n: pa.array(v, pa.int64()) for n, v in zip("abd", found)})
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,17 +375,21 @@ def are_similar(ones: pa.Array, others: pa.Array, least: pa.Array) -> pa.Array:
     return pa.array([similarity_of(a, b) >= s for (a, b), s in zip(sets, least.to_pylist())], pa.bool_())
 
 
-def checked(pairs: DataFrame, classes: DataFrame, written: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those pairs (a, b) of classes of which the sets of shingles are similar enough."""
+def sets_of(keys: DataFrame, classes: DataFrame, written: DataFrame, words: int) -> DataFrame:
+    """key and s, the sorted hashes of its shingles, for some classes (key); written."""
 
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingle_set(t, words).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
 
     sets.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = materialize(classes.join(ends, "key").select(F.col("first.rid").alias("rid"), "key"))
+    wanted = materialize(classes.join(keys, "key").select(F.col("first.rid").alias("rid"), "key"))
+    return materialize(written.select("rid", text_of().alias("t")).join(bounded(wanted), "rid").select("key", F.arrow_udf(sets, "binary")("t").alias("s")))
+
+
+def checked(pairs: DataFrame, classes: DataFrame, written: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those pairs (a, b) of classes of which the sets of shingles are similar enough."""
     # a row for each class, so no key of these joins is hot but a class of many pairs, which adaptive execution splits
-    known = materialize(written.select("rid", text_of().alias("t")).join(wanted, "rid").select("key", F.arrow_udf(sets, "binary")("t").alias("s")))
+    known = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), classes, written, words)
     one = pairs.select("a", "b").join(known.select(F.col("key").alias("a"), F.col("s").alias("sa")), "a")
     both = one.join(known.select(F.col("key").alias("b"), F.col("s").alias("sb")), "b")
     return materialize(both.filter(are_similar("sa", "sb", F.lit(float(similarity)))).select("a", "b"))
@@ -377,7 +413,7 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     classes = materialize(rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("second").alias("second"), F.min("rank").alias("first"), F.min("buckets").alias("buckets"), F.count("*").alias("n")))
 
     radius, both = radius_of(similarity), radius_of(similarity, 128)
-    found = near_links(classes.select(F.explode("buckets").alias("bucket"), "key", "fp", "second"), radius, both, NEAREST + 1)
+    found = near_links(classes.select(F.explode("buckets").alias("bucket"), "key", "fp", "second"), radius, both, similarity, NEAREST + 1)
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     found = materialize(found.withColumn("place", place).filter(F.col("place") <= NEAREST + 1))
     pairs = found.filter(F.col("place") <= NEAREST).select("a", "b")
@@ -385,12 +421,14 @@ def similar_rows(docs: DataFrame, words: int, similarity: float) -> tuple[DataFr
     roots = components(links)
     full = materialize(found.filter(F.col("place") == NEAREST + 1).select(F.col("a").alias("key")))
     if not full.isEmpty():
-        labelled = classes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(full.withColumn("more", F.lit(True)), "key", "left")
-        labelled = materialize(labelled.select("buckets", "key", "fp", "second", F.coalesce("root", "key").alias("root"), F.coalesce("more", F.lit(False)).alias("more")))
-        theirs = materialize(labelled.filter("more").select(F.explode("buckets").alias("bucket")).distinct())
-        again_dealt = labelled.select(F.explode("buckets").alias("bucket"), "key", "fp", "second", "root", "more").join(theirs, "bucket", "left_semi")
-        rest = near_links(again_dealt, radius, both, None).join(pairs, ["a", "b"], "left_anti")
-        links = links.unionByName(checked(materialize(rest), classes, written, words, similarity))
+        theirs = materialize(classes.join(full, "key", "left_semi").select(F.explode("buckets").alias("bucket")).distinct())
+        marks = classes.select("key").join(roots.withColumnRenamed("node", "key"), "key", "left").join(full.withColumn("more", F.lit(True)), "key", "left")
+        marks = marks.select("key", F.coalesce("root", "key").alias("root"), F.coalesce("more", F.lit(False)).alias("more"))
+        dealt = materialize(classes.select(F.explode("buckets").alias("bucket"), "key", "fp", "second").join(theirs, "bucket", "left_semi").join(marks, "key"))
+        several = dealt.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("bucket")
+        dealt = dealt.join(materialize(several), "bucket", "left_semi")
+        known = sets_of(dealt.select("key").distinct(), classes, written, words)
+        links = links.unionByName(materialize(near_links(dealt.join(known, "key"), radius, both, similarity).select("a", "b")))
         roots = components(links)
     named = classes.select("key", "first", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     stay = named.groupBy("root").agg(F.min("first").alias("stays"), F.count("*").alias("classes"))
@@ -439,4 +477,4 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, similari
         rows = smallest.groupBy("root").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "rid")).alias("first")).select("first.rid")
         return unfold(written.join(rows, "rid", "left_semi"), {})
     written, gone = similar_rows(folded, words, similarity)
-    return unfold(written.join(gone, "rid", "left_anti"), {})
+    return unfold(written.join(bounded(gone), "rid", "left_anti"), {})
