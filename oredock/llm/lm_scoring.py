@@ -56,12 +56,12 @@ class Block:
 
     def __init__(self, texts: list[bytes]):
         ids: dict[bytes, int] = {}
-        self.docs = [[ids.setdefault(w, len(ids)) for w in t.translate(LOWER).split()] for t in texts]
+        docs = [[ids.setdefault(w, len(ids)) for w in t.translate(LOWER).split()] for t in texts]
         self.end, self.start = len(ids), len(ids) + 1
         self.width = len(ids) + 2
         words = np.array([*map(xxhash.xxh3_64_intdigest, ids), END_KEY, START_KEY], dtype=np.uint64)
-        self.lengths = np.array([len(d) + 1 for d in self.docs], dtype=np.int64)
-        self.symbols = np.array([x for d in self.docs for x in (*d, self.end)], dtype=np.int64)
+        self.lengths = np.array([len(d) + 1 for d in docs], dtype=np.int64)
+        self.symbols = np.array([x for d in docs for x in (*d, self.end)], dtype=np.int64)
         self.firsts = np.cumsum(self.lengths) - self.lengths
         before = np.roll(self.symbols, 1)
         before[self.firsts] = self.start
@@ -132,7 +132,7 @@ def blocks_of(rows: DataFrame, block: int, bundle: int) -> DataFrame:
         def written() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
             table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
                 out.write_table(table)
             data = sink.getvalue().to_pybytes()
             return pa.RecordBatch.from_pydict({"bundle": pa.array([task << 32 | number // bundle], pa.int64()), "place": pa.array([number % bundle], pa.int32()), "data": pa.array([data], pa.binary())})
@@ -236,7 +236,7 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: tuple[float, flo
             model = Automaton(own, counts, tokens, distinct, mu)
             n_known = np.add.reduceat((counts[WORD] > 0)[own.symbols].astype(np.int64), own.firsts)
             base = np.add.reduceat(np.array(model.root)[own.symbols], own.firsts)
-            full = [model.traverse(own.start, [*d, own.end]) for d in own.docs]
+            full = [model.traverse(a, a + n) for a, n in zip(own.firsts.tolist(), own.lengths.tolist())]
             out.append(pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(~trains), "n_tokens": pa.array(own.lengths), "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(full), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())}))
         return pa.concat_tables(out)
 
@@ -246,41 +246,44 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: tuple[float, flo
 class Automaton:
     """The part of the model that a block's documents can reach.
 
-    States are words and the start by number, then pairs, then the root. An arc's key is state * width + symbol.
+    States are the block's counted pairs, by number, its words and the root. The arc of a pair's state for
+    a word is the triple that both make, that of a word's state the pair: arcs are found by these numbers, and
+    None is an arc that training documents don't have. A pair's state fails to that of its last word, a word's to the root.
     """
 
     def __init__(self, own: Block, counts: dict[int, np.ndarray], tokens: int, distinct: int, mu: tuple[float, float]):
         words, pairs, triples = counts[WORD], counts[PAIR], counts[TRIPLE]
-        self.width, n = own.width, len(own.pairs)
         one = (words + 1) / (tokens + distinct + 1)
-        left, symbol = own.pairs // own.width, own.pairs % own.width
-        two = (pairs + mu[0] * one[symbol]) / (words[left] + mu[0])
+        before, symbol = own.pairs // own.width, own.pairs % own.width
+        two = (pairs + mu[0] * one[symbol]) / (words[before] + mu[0])
         above = own.triples // own.width
         three = (triples + mu[1] * two[own.last_pair]) / (pairs[above] + mu[1])
-        seen, known = np.nonzero(pairs)[0], np.nonzero(triples)[0]
-        keys = np.concatenate([own.pairs[seen], own.triples[known] + own.width * own.width])
-        self.arcs = dict(zip(keys.tolist(), range(len(keys))))
-        self.weights = np.log10(np.concatenate([two[seen], three[known]])).tolist()
-        self.next = (own.width + np.concatenate([seen, own.last_pair[known]])).tolist()
         self.root = np.log10(one).tolist()
-        self.root_state = own.width + n
-        self.fail = [self.root_state] * own.width + symbol.tolist()
-        self.fail_weights = np.log10(np.concatenate([mu[0] / (words + mu[0]), mu[1] / (pairs + mu[1])])).tolist()
-
-    def traverse(self, state: int, symbols: list[int]) -> float:
-        total, width, arcs, weights, following, fail, fail_weights, root, last = 0.0, self.width, self.arcs, self.weights, self.next, self.fail, self.fail_weights, self.root, self.root_state
-        for x in symbols:
-            while state != last:
-                arc = arcs.get(state * width + x)
+        self.pair_arcs, self.triple_arcs = (np.where(n > 0, np.log10(p), None).tolist() for n, p in ((pairs, two), (triples, three)))
+        self.pair_fails, self.word_fails = (np.log10(m / (n + m)).tolist() for n, m in ((pairs, mu[1]), (words, mu[0])))
+        triple_at = np.full(len(own.symbols), -1)
+        triple_at[own.later] = own.triple_at
+        self.places = list(zip(own.pair_at.tolist(), triple_at.tolist(), before[own.pair_at].tolist(), own.symbols.tolist()))
+
+    def traverse(self, first: int, end: int) -> float:
+        """Read the symbols at these places, from the start's state."""
+        pair_arcs, triple_arcs, pair_fails, word_fails, root = self.pair_arcs, self.triple_arcs, self.pair_fails, self.word_fails, self.root
+        total, state = 0.0, None  # a pair, or None at the state of the last word
+        for pair, triple, word, symbol in self.places[first:end]:
+            if state is not None:
+                arc = triple_arcs[triple]
                 if arc is not None:
-                    total += weights[arc]
-                    state = following[arc]
-                    break
-                total += fail_weights[state]
-                state = fail[state]
+                    total += arc
+                    state = pair
+                    continue
+                total += pair_fails[state]
+            arc = pair_arcs[pair]
+            if arc is not None:
+                total += arc
+                state = pair
             else:
-                total += root[x]
-                state = x
+                total += word_fails[word] + root[symbol]
+                state = None
         return total
 
 

@@ -315,22 +315,22 @@ def test_simhash_fingerprints_once(odd):
 
 
 def test_lm_distribution_sums_to_one():
-    """The automaton's arcs, with what failure arcs pass on, are a distribution over the words after each state."""
-    block = lm_scoring.Block([b"a b a", b"a c", b"b"])
-    counts = block.counted(np.array([True, True, True]))
-    words = counts[lm_scoring.WORD]
-    tokens = int(words[: block.end + 1].sum())
-    model = lm_scoring.Automaton(block, counts, tokens, int((words[: block.end + 1] > 0).sum()), (80.0, 20.0))
-    other = 1 / (tokens + block.end + 2)  # the share of all unknown words at the root
-    for state in range(model.root_state + 1):
-        if state == block.end or block.width <= state < model.root_state and model.fail[state] == block.end:
-            continue  # nothing follows the end
-        known = sum(10 ** model.traverse(state, [w]) for w in range(block.end + 1))
-        at, left = state, 1.0
-        while at != model.root_state:
-            left *= 10 ** model.fail_weights[at]
-            at = model.fail[at]
-        assert known + left * other == pytest.approx(1)
+    """A state's arcs, and what its failure arc passes on to words without one, are a distribution."""
+    block = lm_scoring.Block([b"a b a", b"a c", b"b", b"a b c"])
+    counts = block.counted(np.array([True, True, True, True]))
+    words = counts[lm_scoring.WORD][: block.end + 1]
+    model = lm_scoring.Automaton(block, counts, int(words.sum()), len(words), (80.0, 20.0))
+    share = lambda x: 10**x
+    assert sum(map(share, model.root[: block.end + 1])) + share(model.root[block.start]) * 1 / (counts[lm_scoring.WORD][block.start] + 1) == pytest.approx(1)
+    for word in {*range(block.width)} - {block.end}:
+        own = [i for i, p in enumerate(block.pairs) if p // block.width == word]
+        left = 1 - sum(share(model.root[int(block.pairs[i] % block.width)]) for i in own)
+        assert sum(share(model.pair_arcs[i]) for i in own) + share(model.word_fails[word]) * left == pytest.approx(1)
+    for pair in range(len(block.pairs)):
+        own = [i for i, t in enumerate(block.triples) if t // block.width == pair]
+        left = 1 - sum(share(model.pair_arcs[block.last_pair[i]]) for i in own)
+        if own:
+            assert sum(share(model.triple_arcs[i]) for i in own) + share(model.pair_fails[pair]) * left == pytest.approx(1)
 
 
 def test_quality_model(spark):
