@@ -63,6 +63,14 @@ ENCODERS: dict[str, Callable[[bytes, int], bytes]] = {
 DECODERS: dict[str, Callable[[bytes], bytes]] = {"deflate": inflate, "gzip": ungzip, "zstd": unzstd, "bzip2": bz2.decompress, "lzma": lzma.decompress}
 
 
+def register(name: str, encoder: Callable[[bytes, int], bytes] | None = None, decoder: Callable[[bytes], bytes] | None = None) -> None:
+    """Offer a codec under a name to encode and decode; one that is there already is replaced."""
+    if encoder:
+        ENCODERS[name] = encoder
+    if decoder:
+        DECODERS[name] = decoder
+
+
 def _column(function: Callable[[bytes], bytes]):
     @F.arrow_udf("binary")
     def mapped(values: pa.Array) -> pa.Array:
@@ -79,6 +87,8 @@ def little_endian(value: Column) -> Column:
 
 def encode(codec: str, raw: Column, level: int = 5) -> Column:
     """raw as one member or frame. gzip is framed natively: header, deflate data, CRC-32, size."""
+    if not 0 <= level <= 9:
+        raise ValueError("a level is 0 to 9")
     if codec == "gzip":
         size = F.length(raw).cast("long")
         return F.concat(F.lit(GZIP_HEADER), encode("deflate", raw, level), little_endian(F.crc32(raw)), little_endian(size))
@@ -88,10 +98,19 @@ def encode(codec: str, raw: Column, level: int = 5) -> Column:
     return _column(lambda v: function(v, level))(raw)
 
 
-def decode(codec: str, data: Column) -> Column:
+def decode(codec: str, data: Column, failing: bool = True) -> Column:
+    """The bytes of a member or frame; damaged data are an error, or null where failing is false."""
     if codec not in DECODERS:
         raise ValueError(f"decompression is not supported: {codec}")
-    return _column(DECODERS[codec])(data)
+    function = DECODERS[codec]
+
+    def tried(data: bytes) -> bytes | None:
+        try:
+            return function(data)
+        except (ValueError, EOFError, OSError, zlib.error, lzma.LZMAError):
+            return None
+
+    return _column(function if failing else tried)(data)
 
 
 @F.arrow_udf(T.ArrayType(T.LongType()))

@@ -20,6 +20,8 @@ SUFFIXES = {
 }
 PAYLOAD = {"zip": "deflate", "tar.gz": "gzip", "tar.zst": "zstd", "tar.xz": "lzma", "tar.bz2": "bzip2", "rar": "rar", "7z": "lzma"}
 WRITABLE = ["zip", "tar", "tar.gz", "tar.zst"]
+# Names of codecs for people.
+NAMES = {"deflate": "deflate", "gzip": "gzip", "zstd": "zstd", "lzma": "lzma", "bzip2": "bzip2", "rar": "rar"}
 # Fixed values: (backend, priority, codec, compresses, decompresses).
 CAPABILITIES = [
     ("gpu", 0, "gzip", True, False),
@@ -43,6 +45,11 @@ def payload_codec(container: Column | str) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for pair in PAYLOAD.items() for x in pair]), F.col(container) if isinstance(container, str) else container)
 
 
+def codec_name(codec: Column | str) -> Column:
+    """The codec's name for people; null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), F.col(codec) if isinstance(codec, str) else codec)
+
+
 def is_writable(container: Column | str) -> Column:
     return F.col(container).isin(WRITABLE) if isinstance(container, str) else container.isin(WRITABLE)
 

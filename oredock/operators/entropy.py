@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,18 +20,42 @@ DISTANCE_BASE = [1, 2, 3, 4, 5, 7, 9, 13, 17, 25, 33, 49, 65, 97, 129, 193, 257,
 DISTANCE_EXTRA = [0, 0, 0, 0, 1, 1, 2, 2, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 10, 10, 11, 11, 12, 12, 13, 13]
 
 
-def symbol_table(spark: SparkSession, kind: str) -> DataFrame:
-    """(low, high, symbol, base, extra): the values that a length or distance symbol stands for."""
-    base, extra, first, end = (LENGTH_BASE, LENGTH_EXTRA, 257, 259) if kind == "length" else (DISTANCE_BASE, DISTANCE_EXTRA, 0, 32769)
-    high = [*(b - 1 for b in base[1:]), end - 1]
-    return spark.createDataFrame([(lo, hi, first + i, lo, x) for i, (lo, hi, x) in enumerate(zip(base, high, extra))], "low int, high int, symbol int, base int, extra int")
+#: The order in which lengths of the meta alphabet's codes are written; at least this many are.
+META_ORDER, META_LEAST = [16, 17, 18, 0, 8, 7, 9, 6, 10, 5, 11, 4, 12, 3, 13, 2, 14, 1, 15], 4
+
+
+def _log2(n: Column) -> Column:
+    """The whole part of log2(n) of 1 <= n < 2 ** 15."""
+    return reduce(lambda a, b: a + b, [(n >= 1 << k).cast("int") for k in range(1, 15)])
 
 
 def with_symbol(rows: DataFrame, value: str, kind: str) -> DataFrame:
-    """rows with symbol, extra (bits) and extra_value of a length or distance; a table of 30 rows is broadcast."""
-    table = F.broadcast(symbol_table(rows.sparkSession, kind))
-    joined = rows.join(table, F.col(value).between(F.col("low"), F.col("high")), "left")
-    return joined.withColumn("extra_value", F.col(value) - F.col("base")).drop("low", "high", "base")
+    """rows with symbol, extra (bits) and extra_value of a length (3 to 258) or distance (1 to 32768); null for others.
+
+    Symbols follow from the highest bits: each power of two has four symbols of lengths or two of distances.
+    """
+    v = F.col(value)
+    first, per, base, limit = (3, 4, 257, 258) if kind == "length" else (1, 2, 0, 32768)
+    n = v - first
+    extra = F.greatest(_log2(F.greatest(n, F.lit(1))) - (2 if per == 4 else 1), F.lit(0))
+    high = F.call_function("shiftright", n.cast("int"), extra)
+    symbol = base + per * extra + high
+    low = n - F.call_function("shiftleft", high, extra)
+    inside = v.between(first, limit)
+    top = F.lit(kind == "length") & (v == 258)  # 258 has a symbol of its own
+    columns = {"symbol": F.when(top, 285).otherwise(symbol), "extra": F.when(top, 0).otherwise(extra), "extra_value": F.when(top, 0).otherwise(low)}
+    return rows.select("*", *[F.when(inside, c).cast("int").alias(k) for k, c in columns.items()])
+
+
+def pack_token(length: Column, distance: Column) -> Column:
+    """A token as one number: the length above 16 bits of the distance; a literal has length 0, and its byte there."""
+    return F.shiftleft(length.cast("long"), 16).bitwiseOR(distance.cast("long"))
+
+
+def unpack_token(packed: Column) -> tuple[Column, Column, Column]:
+    """(length, distance, is_literal) of a packed token."""
+    length = F.shiftright(packed, 16).cast("int")
+    return length, packed.bitwiseAND(F.lit(0xFFFF)).cast("int"), length == 0
 
 
 def reverse_bits(code: Column, n_bits: Column) -> Column:
@@ -43,10 +70,19 @@ def fixed_code(symbol: Column) -> tuple[Column, Column]:
 
 
 def byte_histogram(streams: DataFrame, key: str) -> DataFrame:
-    """key, byte and freq over raw; bytes are counted in the JVM after one explode."""
-    hexed = streams.select(key, F.hex("raw").alias("digits"))
-    rows = hexed.select(key, F.explode(F.regexp_extract_all("digits", F.lit(".."), F.lit(0))).alias("pair"))
-    return rows.groupBy(key, "pair").count().select(key, F.conv("pair", 16, 10).cast("int").alias("byte"), F.col("count").alias("freq"))
+    """key, byte and freq over raw: a task counts the bytes of each key of its batches, Spark adds them up."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict = {}
+            for k, raw in zip(batch.column(key).to_pylist(), batch.column("raw").to_pylist()):
+                seen[k] = seen.get(k, 0) + np.bincount(np.frombuffer(raw or b"", np.uint8), minlength=256)
+            for k, counts in seen.items():
+                at = np.nonzero(counts)[0]
+                yield pa.RecordBatch.from_pydict({key: pa.array([k] * len(at), batch.column(key).type), "byte": pa.array(at, pa.int32()), "n": pa.array(counts[at], pa.int64())})
+
+    schema = T.StructType([streams.schema[key], T.StructField("byte", T.IntegerType()), T.StructField("n", T.LongType())])
+    return streams.select(key, "raw").mapInArrow(counted, schema).groupBy(key, "byte").agg(F.sum("n").alias("freq"))
 
 
 def shannon_lengths(histogram: DataFrame, key: str) -> DataFrame:
@@ -67,6 +103,8 @@ def canonical_codes(lengths: DataFrame, key: str, symbol: str) -> DataFrame:
 def huffman(freq: list[int], limit: int = 15) -> list[int]:
     """Optimal code lengths; equal weights in order of symbols; frequencies are halved until the limit holds."""
     used = [s for s, f in enumerate(freq) if f]
+    if len(used) > 1 << limit:
+        raise ValueError(f"{len(used)} symbols have no code of at most {limit} bits")
     if len(used) <= 1:
         return [1 if s in used else 0 for s in range(len(freq))]
     weights = {s: freq[s] for s in used}
@@ -113,6 +151,18 @@ def run_lengths(lengths: DataFrame, key: str, at: str, value: str) -> DataFrame:
     return runs.select(key, "start", F.posexplode(parts).alias("part", "x")).select(key, "start", "part", "x.symbol", "x.repeat")
 
 
+def trimmed(lengths: DataFrame, key: str, at: str, value: str, least: int) -> DataFrame:
+    """key and kept: how many lengths are left when zeros at the end go, `least` at the fewest."""
+    return lengths.groupBy(key).agg(F.greatest(F.lit(least), F.coalesce(F.max(F.when(F.col(value) > 0, F.col(at))) + 1, F.lit(0))).cast("int").alias("kept"))
+
+
+def meta_order(frequencies: DataFrame, key: str) -> DataFrame:
+    """The meta alphabet (key, symbol, freq) in the order in which its lengths are written, without the unused end: key, place, symbol, freq."""
+    order = frequencies.sparkSession.createDataFrame(list(enumerate(META_ORDER)), "place int, symbol int")
+    every = frequencies.select(key).distinct().crossJoin(F.broadcast(order)).join(frequencies, [key, "symbol"], "left").fillna(0, ["freq"])
+    return every.join(trimmed(every, key, "place", "freq", META_LEAST), key).filter(F.col("place") < F.col("kept")).select(key, "place", "symbol", "freq")
+
+
 def bit_offsets(writes: DataFrame, key: str, order: str, first: int = 0) -> DataFrame:
     """offset: the bits written before, by a window over each block."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

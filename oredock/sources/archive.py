@@ -50,7 +50,6 @@ def list_entries(archives: DataFrame, content: bool = False) -> DataFrame:
                 rows = list(entries_of(container, data, content))
                 yield pa.RecordBatch.from_pydict({"archive": pa.array([name] * len(rows), pa.string()), "path": pa.array([r[0] for r in rows], pa.string()), "size": pa.array([r[1] for r in rows], pa.int64()), "is_dir": pa.array([r[2] for r in rows], pa.bool_()), "content": pa.array([r[3] for r in rows], pa.binary())})
 
-    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     return archives.select("archive", "container", "data").mapInArrow(listed, ENTRY).withColumn("is_safe", is_safe_path("path"))
 
 
@@ -60,25 +59,28 @@ def read_archives(spark: SparkSession, path: str, content: bool = False) -> Data
     return list_entries(files, content)
 
 
-def tar_bytes(paths: list[str], contents: list[bytes]) -> bytes:
+def tar_bytes(paths: list[str], contents: list[bytes | None], links: list[str | None] | None = None) -> bytes:
+    """A tar; an entry without contents is a link if it has a target, else a directory."""
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w", format=tarfile.PAX_FORMAT) as t:
-        for path, raw in zip(paths, contents):
+        for path, raw, link in zip(paths, contents, links or [None] * len(paths)):
             info = tarfile.TarInfo(path)
-            info.size = len(raw)
-            t.addfile(info, io.BytesIO(raw))
+            if raw is None:
+                info.type, info.linkname, info.mode = (tarfile.SYMTYPE, link, 0o777) if link else (tarfile.DIRTYPE, "", 0o755)
+            info.size = len(raw or b"")
+            t.addfile(info, io.BytesIO(raw or b""))
     return out.getvalue()
 
 
-def pack_entries(container: str, paths: list[str], contents: list[bytes], level: int, member: int) -> bytes:
+def pack_entries(container: str, paths: list[str], contents: list[bytes | None], level: int, member: int, links: list[str | None] | None = None) -> bytes:
     """One archive; compressed tar data is cut into members or frames that can be decoded one by one."""
     if container == "zip":
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=level) as z:
             for path, raw in zip(paths, contents):
-                z.writestr(zipfile.ZipInfo(path), raw, zipfile.ZIP_DEFLATED, level)
+                z.writestr(zipfile.ZipInfo(path if raw is not None else f"{path}/"), raw or b"", zipfile.ZIP_DEFLATED, level)
         return out.getvalue()
-    data = tar_bytes(paths, contents)
+    data = tar_bytes(paths, contents, links)
     if container == "tar":
         return data
     parts = [data[i : i + member] for i in range(0, len(data), member)]
@@ -88,14 +90,27 @@ def pack_entries(container: str, paths: list[str], contents: list[bytes], level:
 
 
 def pack(entries: DataFrame, container: str, level: int = 5, member: int = MEMBER) -> DataFrame:
-    """One archive per value of archive in entries(archive, path, raw), entries in order of their paths: archive, container, data."""
+    """One archive per value of archive in entries(archive, path, raw), entries in order of their paths: archive, container, data.
+
+    With a column link, rows without raw are symbolic links where it names a target, else directories; zip has no
+    links, so there they are left out. Paths lose empty, `.` and `..` parts; two entries that then share a path are an error.
+    """
     if container not in WRITABLE:
         raise ValueError(f"archives of this kind can't be written: {container}")
+    if not 0 <= level <= 9 or member < 1:
+        raise ValueError("a level is 0 to 9, and a member has a byte at least")
+    has_links = "link" in entries.columns
 
     def packed(table: pa.Table) -> pa.Table:
         table = table.sort_by("path")
-        data = pack_entries(container, table.column("path").to_pylist(), table.column("raw").to_pylist(), level, member)
+        paths, raw, links = (table.column(c).to_pylist() for c in ("path", "raw", "link"))
+        if len(set(paths)) < len(paths):
+            raise ValueError("two entries of an archive have one path")
+        data = pack_entries(container, paths, raw, level, member, links)
         return pa.table({"archive": table.column("archive")[:1], "container": [container], "data": pa.array([data], pa.binary())})
 
-    rows = entries.select("archive", clean_path("path").alias("path"), "raw")
+    raw = F.col("raw") if has_links else F.coalesce("raw", F.lit(b""))
+    rows = entries.select("archive", clean_path("path").alias("path"), raw.alias("raw"), (F.col("link") if has_links else F.lit(None).cast("string")).alias("link"))
+    if container == "zip":
+        rows = rows.filter("link IS NULL")
     return rows.groupBy("archive").applyInArrow(packed, "archive string, container string, data binary")

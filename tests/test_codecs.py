@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from oredock.functions import codecs
 from oredock.operators import chunks, entropy, lz77
-from oredock.sources import archive
+from oredock.plans import registry
+from oredock.sources import archive, tree
 
 STREAMS = [b"", b"a", bytes(range(32)), b"abc" * 56, b"x" * 64, b"".join(b"line %d: the quick brown fox\n" % i for i in range(256)), bytes((i * 2654435761) & 255 for i in range(1500))]
 OPEN = {"deflate": lambda d: zlib.decompress(d, -15), "gzip": gzip.decompress, "zstd": lambda d: zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(d), "bzip2": bz2.decompress, "lzma": lzma.decompress}
@@ -59,9 +60,11 @@ def test_errors_reach_the_caller(spark):
 @pytest.mark.parametrize("container", ["zip", "tar", "tar.gz", "tar.zst"])
 def test_archives(spark, container):
     rows = [("x", "src/a.txt", bytearray(b"hello world\n")), ("x", "src/b.bin", bytearray(b"\xaa" * 16384)), ("x", "../src/é.txt", bytearray(b"")), ("y", "/etc/passwd", bytearray(b"p"))]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     packed = archive.pack(spark.createDataFrame(rows, "archive string, path string, raw binary"), container)
     got = {(r.archive, r.path): (r.size, bytes(r.content), r.is_safe) for r in archive.list_entries(packed, True).collect()}
     assert got == {("x", "src/a.txt"): (12, b"hello world\n", True), ("x", "src/b.bin"): (16384, b"\xaa" * 16384, True), ("x", "src/é.txt"): (0, b"", True), ("y", "etc/passwd"): (1, b"p", True)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
 def test_archive_files(spark, tmp_path):
@@ -97,3 +100,96 @@ def test_deflate_blocks(spark):
     rows = frame(spark).filter("length(raw) > 0").select(F.col("stream_id").alias("chunk_id"), F.posexplode(lz77.tokens_of("raw")).alias("i", "t")).select("chunk_id", "i", "t.length", "t.distance")
     got = {r.chunk_id: zlib.decompress(bytes(r.block), -15) for r in lz77.deflate_blocks(rows).collect()}
     assert got == {i: b for i, b in enumerate(STREAMS) if b}
+
+
+@pytest.mark.parametrize("container", ["zip", "tar", "tar.gz", "tar.zst"])
+def test_tree_through_files(spark, tmp_path, container):
+    """A tree with directories, an empty one, an empty file and a link: scanned, packed, written to files, read and written out again."""
+    tree_of = {"src/a.txt": b"hello world\n", "src/b.bin": b"\xaa" * 16384, "src/nested/c.txt": b"second file\n", "src/nested/deep/d.log": b"deeply nested\n", "src/e": b""}
+    for path, raw in tree_of.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_bytes(raw)
+    (tmp_path / "src/void").mkdir()
+    (tmp_path / "src/link").symlink_to("a.txt")
+    found = tree.scan(spark, f"file://{tmp_path}/src")
+    paths = ["src", "src/a.txt", "src/b.bin", "src/e", "src/link", "src/nested", "src/nested/c.txt", "src/nested/deep", "src/nested/deep/d.log", "src/void"]
+    assert sorted(r.path for r in found.collect()) == paths
+    packed = archive.pack(tree.with_content(found, f"{tmp_path}/src").withColumn("archive", F.lit("all")), container)
+    out = tree.write_files(packed.select(F.concat("archive", F.lit("."), "container").alias("path"), F.col("data").alias("raw")), f"file://{tmp_path}/out")
+    assert [r.path for r in out.collect()] == [f"all.{container}"]
+    read = archive.read_archives(spark, f"file://{tmp_path}/out/*", True)
+    listed = {r.path: (r.is_dir, r.content and bytes(r.content)) for r in read.collect()}
+    links = {"src/link"} if container != "zip" else set()
+    assert set(listed) == {p for p in paths if p != "src/link"} | links
+    assert {p: c for p, (d, c) in listed.items() if p in tree_of} == {p: r or listed[p][1] for p, r in tree_of.items()}
+    assert all(d == (p in ("src", "src/nested", "src/nested/deep", "src/void")) for p, (d, _) in listed.items())
+    tree.write_files(read.filter("NOT is_dir AND content IS NOT NULL").select("path", F.col("content").alias("raw")), f"{tmp_path}/again").count()
+    assert all((tmp_path / "again" / p).read_bytes() == raw for p, raw in tree_of.items())
+    with pytest.raises(ValueError):
+        tree.write_files(spark.createDataFrame([("../x", bytearray(b"y"))], "path string, raw binary"), str(tmp_path))
+
+
+def test_unknown_suffix(spark, tmp_path):
+    (tmp_path / "file.unknownext").write_bytes(b"x")
+    with pytest.raises(Exception, match="can't be read"):
+        archive.read_archives(spark, f"file://{tmp_path}").collect()
+
+
+def test_two_entries_of_one_path(spark):
+    rows = [("x", "a/b", bytearray(b"1")), ("x", "a/../b", bytearray(b"2")), ("x", "../a/b", bytearray(b"3"))]
+    with pytest.raises(Exception, match="one path"):
+        archive.pack(spark.createDataFrame(rows, "archive string, path string, raw binary"), "tar").collect()
+
+
+def test_options_are_checked(spark):
+    rows = frame(spark)
+    for size in (0, -1):
+        with pytest.raises(ValueError):
+            chunks.split(rows, size)
+    for level in (-1, 10):
+        with pytest.raises(ValueError):
+            codecs.encode("gzip", F.col("raw"), level)
+        with pytest.raises(ValueError):
+            archive.pack(rows.withColumn("archive", F.lit("a")).withColumn("path", F.lit("p")), "tar", level)
+    with pytest.raises(ValueError):
+        entropy.huffman([1] * 40, 5)
+
+
+def test_members_with_foreign_ones_and_headers_within(spark):
+    """Foreign members, and headers within compressed data, are decoded like any other decoder does."""
+    own = lambda raw: codecs.GZIP_HEADER + codecs.deflate(raw) + zlib.crc32(raw).to_bytes(4, "little") + len(raw).to_bytes(4, "little")
+    stored = zlib.compressobj(0, zlib.DEFLATED, -15)
+    noise = b"x" + codecs.GZIP_HEADER + b"y"
+    within = codecs.GZIP_HEADER + stored.compress(noise) + stored.flush() + zlib.crc32(noise).to_bytes(4, "little") + len(noise).to_bytes(4, "little")
+    cases = [(own(b"a") + own(b"b"), b"ab"), (gzip.compress(b"foreign") + own(b"a") + own(b"b"), b"foreignab"), (own(b"a") + gzip.compress(b"foreign") + own(b"b"), b"aforeignb"), (within + own(b"z"), noise + b"z"), (b"", b""), (gzip.compress(b"only"), b"only")]
+    packed = spark.createDataFrame([(i, bytearray(p)) for i, (p, _) in enumerate(cases)], "stream_id long, packed binary")
+    assert {r.stream_id: bytes(r.raw) for r in registry.decoded_members(packed).collect()} == {i: raw for i, (_, raw) in enumerate(cases)}
+
+
+def test_large_stream_is_assembled_in_one_pass(spark):
+    raw = bytes(range(256)) * 4096 * 16  # 16 MB in 4,096 chunks
+    got = chunks.assemble(chunks.split(spark.createDataFrame([(1, bytearray(raw))], "stream_id long, raw binary"), 4096), "raw", "raw").first()
+    assert bytes(got.raw) == raw
+
+
+def test_starts_of_one_large_group(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 5 == 0, None).otherwise("hot").alias("k"), "id", (F.col("id") % 7).alias("n"))
+    got = {r.id: r.start for r in chunks.starts(rows, "k", "id", "n").collect()}
+    seen = {True: 0, False: 0}
+    for i in range(3000):
+        assert got[i] == seen[i % 5 == 0]
+        seen[i % 5 == 0] += i % 7
+
+
+def test_symbols_of_all_values(spark):
+    for kind, base, extra, first, values in (("length", entropy.LENGTH_BASE, entropy.LENGTH_EXTRA, 257, range(3, 259)), ("distance", entropy.DISTANCE_BASE, entropy.DISTANCE_EXTRA, 0, range(1, 32769))):
+        rows = entropy.with_symbol(spark.createDataFrame([(v,) for v in values], "v int"), "v", kind).collect()
+        for r in rows:
+            at = max(i for i, b in enumerate(base) if b <= r.v)
+            assert (r.symbol, r.extra, r.extra_value) == (first + at, extra[at], r.v - base[at])
+
+
+def test_own_codec(spark):
+    codecs.register("turned", lambda raw, level: raw[::-1], lambda data: data[::-1])
+    got = {r.stream_id: bytes(r.raw) for r in chunks.round_trip(frame(spark), "turned", 100).collect()}
+    assert got == dict(enumerate(STREAMS))
