@@ -29,7 +29,7 @@ from __future__ import annotations
 from functools import cache
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oredock.llm.common import let, materialize, read, text_of
@@ -85,18 +85,22 @@ def vectors(files: DataFrame, chosen: tuple[tuple[str, str, str], ...]) -> tuple
     seen = files.select(F.explode(F.array_distinct(terms_of("text"))).alias("term")).join(F.broadcast(listed), "term").groupBy("term").count()
     n = files.count()
     idf = materialize(listed.join(seen, "term", "left").select("term", (1.0 + F.log((1.0 + n) / (1.0 + F.coalesce("count", F.lit(0))))).alias("idf")))
-    known = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    sized = known.withColumn("size", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template"))))
+    known = materialize(counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf")))
+    sizes = known.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    sized = known.join(F.broadcast(sizes), "template")
     other = files.sparkSession.range(1).select(1.0 + F.log(F.lit(1.0 + n))).first()[0]
     return materialize(sized.select("template", "license", "term", "w", "size")), idf, other
 
 
 def needed(known: DataFrame, least: float) -> list[str]:
     """Terms of which a candidate must have one to reach `least`: of each template the heaviest, until the others' norm is below it."""
-    heavy = Window.partitionBy("template").orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("w") * F.col("w")).over(heavy), F.lit(0.0)) / (F.col("size") * F.col("size"))
-    # at most the terms of the templates
-    return sorted(r["term"] for r in known.filter("w > 0").select("term", before.alias("b")).filter(F.col("b") <= 1 - least * least + 1e-6).select("term").distinct().collect())
+    found, left = set(), {}
+    for r in known.orderBy(F.desc("w"), "term").collect():  # at most the terms of the templates
+        before = left.get(r["template"], 0.0)
+        if before <= 1 - least * least + 1e-6:
+            found.add(r["term"])
+        left[r["template"]] = before + (r["w"] / r["size"]) ** 2
+    return sorted(found)
 
 
 def blocks_of(lines: Column) -> Column:
