@@ -26,6 +26,7 @@ the split; repeated rows are scored and counted one by one; with no training doc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from oredock.llm.common import LOWER, held_out, materialize, read, text_of
 
-BLOCK, BUNDLE, SHARD, MU = 2 << 20, 8, 32 << 20, (80.0, 20.0)
+BLOCK, BUNDLE, SHARD, SLICE, MU = 2 << 20, 8, 32 << 20, 1 << 16, (80.0, 20.0)
 BLOCKS = "bundle long, place int, data binary"
 SENT = "bundle long, shard int, kind int, places binary, sizes binary, keys binary, counts binary"
 ANSWERED = "bundle long, shard int, kind int, places binary, sizes binary, counts binary, tokens long, words long"
@@ -184,13 +185,16 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: tuple[float, flo
                     bundle, parts = number.as_py(), {}
                 table = _opened(data.as_py())
                 own = Block(_texts(table))
-                for kind, counts in own.counted(_trains(table)).items():
+                numbers = own.counted(_trains(table))
+                for kind, counts in numbers.items():
                     edges, keys = _edges(shards, kind), own.keys[kind][own.order[kind]]
                     bounds = [*np.searchsorted(keys, edges).tolist(), len(keys)]
                     counts = counts[own.order[kind]]
                     for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
                         if a < b:
                             parts.setdefault((kind, i), []).append((place.as_py(), _fit(np.diff(keys[a:b], prepend=edges[i])), _fit(counts[a:b])))
+                # freed before the next block is built
+                del table, own, numbers, counts, keys
         if parts:
             yield packed()
 
@@ -224,21 +228,23 @@ def score(docs: DataFrame, is_held_out, block: int = BLOCK, mu: tuple[float, flo
             cuts = np.cumsum(np.frombuffer(sizes, "<i8"))[:-1]
             for place, part in zip(np.frombuffer(places, "<i4").tolist(), np.split(_from_planes(counts), cuts)):
                 told.setdefault((place, kind), []).append(_fit(part))
-        out = []
-        for place, data in zip(left.column("place").to_pylist(), left.column("data")):
-            table = _opened(data.as_py())
+
+        def of_block(place: int, data: bytes) -> pa.Table:
+            table = _opened(data)
             trains = _trains(table)
             own = Block(_texts(table))
             counts = {}
             for kind, order in own.order.items():
                 counts[kind] = np.zeros(len(order), np.int64)
-                counts[kind][order] = np.concatenate([np.zeros(0, np.uint8), *told.get((place, kind), [])])
+                counts[kind][order] = np.concatenate([np.zeros(0, np.uint8), *told.pop((place, kind), [])])
             model = Automaton(own, counts, tokens, distinct, mu)
             n_known = np.add.reduceat((counts[WORD] > 0)[own.symbols].astype(np.int64), own.firsts)
             base = np.add.reduceat(np.array(model.root)[own.symbols], own.firsts)
             full = [model.traverse(a, a + n) for a, n in zip(own.firsts.tolist(), own.lengths.tolist())]
-            out.append(pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(~trains), "n_tokens": pa.array(own.lengths), "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(full), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())}))
-        return pa.concat_tables(out)
+            return pa.table({"doc_id": table.column("doc_id"), "held_out": pa.array(~trains), "n_tokens": pa.array(own.lengths), "n_known": pa.array(n_known), "train_tokens": pa.array([tokens] * len(full), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(full, pa.float64())})
+
+        # one block's automaton at a time is in memory
+        return pa.concat_tables([of_block(place, data.as_py()) for place, data in zip(left.column("place").to_pylist(), left.column("data"))])
 
     return blocks.groupBy("bundle").cogroup(answers.filter("kind > 0").drop("tokens", "words").groupBy("bundle")).applyInArrow(scored, SCORED)
 
@@ -263,13 +269,15 @@ class Automaton:
         self.pair_fails, self.word_fails = (np.log10(m / (n + m)).tolist() for n, m in ((pairs, mu[1]), (words, mu[0])))
         triple_at = np.full(len(own.symbols), -1)
         triple_at[own.later] = own.triple_at
-        self.places = list(zip(own.pair_at.tolist(), triple_at.tolist(), before[own.pair_at].tolist(), own.symbols.tolist()))
+        self.places = own.pair_at, triple_at, before[own.pair_at], own.symbols
 
     def traverse(self, first: int, end: int) -> float:
         """Read the symbols at these places, from the start's state."""
         pair_arcs, triple_arcs, pair_fails, word_fails, root = self.pair_arcs, self.triple_arcs, self.pair_fails, self.word_fails, self.root
         total, state = 0.0, None  # a pair, or None at the state of the last word
-        for pair, triple, word, symbol in self.places[first:end]:
+        # in slices, so that a very long document isn't a list of all its symbols at once
+        slices = ([x[at : min(end, at + SLICE)].tolist() for x in self.places] for at in range(first, end, SLICE))
+        for pair, triple, word, symbol in chain.from_iterable(zip(*x) for x in slices):
             if state is not None:
                 arc = triple_arcs[triple]
                 if arc is not None:
