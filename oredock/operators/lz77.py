@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +14,8 @@ from pyspark.sql import types as T
 from oredock.operators import entropy
 
 MIN_MATCH, MAX_MATCH, WINDOW = 3, 258, 32768
+#: Bytes, or tokens, that the functions on whole batches work on at once.
+SLICE = 1 << 18
 
 
 def hash3(a: Column, b: Column, c: Column) -> Column:
@@ -27,58 +33,125 @@ def segment_table(chunks: DataFrame, segment: int) -> DataFrame:
     return keyed.groupBy("chunk_id", "hash", "segment").agg(F.min("p").alias("oldest"), F.max("p").alias("newest"), F.count("*").alias("positions"))
 
 
+def _slices(weights: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows in order, each of about SLICE in weight or of one row."""
+    part = (np.cumsum(weights) - weights) // SLICE
+    ends = [*(np.flatnonzero(np.diff(part)) + 1).tolist(), len(weights)] if len(weights) else []
+    return zip([0, *ends], ends)
+
+
+def _parts(values: pa.Array) -> Iterator[pa.Array]:
+    """Byte strings of a batch, a slice of them at a time."""
+    return (values.slice(a, b - a) for a, b in _slices(pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)))
+
+
+def _joined(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows on end, and where each row starts; the end comes last."""
+    return np.frombuffer(b"".join(r or b"" for r in raws), np.uint8), np.cumsum([0, *(len(r or b"") for r in raws)])
+
+
+def _matches(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length and distance, at each byte, of its match with the latest place before in the row with the same three bytes; 0 for none."""
+    size, sizes = len(data), np.diff(starts)
+    first, end = np.repeat(starts[:-1], sizes), np.repeat(starts[1:], sizes)
+    places = np.arange(size)
+    length, distance = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    three = np.flatnonzero(places + 3 <= end)
+    wide = data.astype(np.int64)
+    # by three bytes, then place: the one before is the latest that came earlier
+    keys = np.sort((wide[three] << 16 | wide[three + 1] << 8 | wide[three + 2]) << 39 | three)
+    at, key = keys & (1 << 39) - 1, keys >> 39
+    again = np.flatnonzero(key[1:] == key[:-1])
+    here, before = at[again + 1], at[again]
+    near = (before >= first[here]) & (here - before <= window)
+    distance[here[near]] = (here - before)[near]
+    # neighbours of one distance share their match: only the last of each run is compared
+    found = np.flatnonzero(distance)
+    last = found[distance[found] != np.append(distance, 0)[found + 1]]
+    reach = np.full(len(last), MIN_MATCH)
+    live = np.arange(len(last))
+    for n in range(MIN_MATCH, MAX_MATCH):
+        live = live[last[live] + n < end[last[live]]]
+        place = last[live] + n
+        live = live[data[place] == data[place - distance[last[live]]]]
+        if not len(live):
+            break
+        reach[live] += 1
+    run = np.searchsorted(last, found)
+    length[found] = np.minimum(MAX_MATCH, reach[run] + last[run] - found)
+    return length, distance
+
+
+def _tokens(raws: list[bytes | None], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths and distances (bytes for literals) of the tokens of all rows, and where each row's start; the end comes last."""
+    data, starts = _joined(raws)
+    length, distance = _matches(data, starts, window)
+    literal = (length == 0) | (np.append(length[1:], 0) > length)
+    # no match goes beyond its row, so one walk meets the start of each
+    jump, taken, p = np.where(literal, 1, length).tolist(), [], 0
+    while p < len(jump):
+        taken.append(p)
+        p += jump[p]
+    at = np.array(taken, np.int64)
+    return np.where(literal, 0, length)[at].astype(np.int32), np.where(literal, data, distance)[at].astype(np.int32), np.searchsorted(at, starts)
+
+
+def _replayed(lengths: list[int], distances: list[int]) -> bytes:
+    data = bytearray()
+    for n, d in zip(lengths, distances):
+        if not n:
+            data.append(d)
+        elif n <= d:
+            at = len(data) - d
+            data += data[at : at + n]
+        else:  # the copy overlaps itself
+            data += (data[-d:] * (n // d + 1))[:n]
+    return bytes(data)
+
+
 def tokenize(raw: bytes, window: int = WINDOW) -> list[tuple[int, int]]:
     """(length, distance) or (0, byte) tokens, with one step of look-ahead: a longer match at the next byte wins."""
-    last: dict[bytes, int] = {}
-
-    def match(p: int) -> tuple[int, int]:
-        at = last.get(raw[p : p + 3], -1)
-        if at < 0 or p - at > window or p + 3 > len(raw):
-            return 0, 0
-        n, most = 3, min(MAX_MATCH, len(raw) - p)
-        while n < most and raw[at + n] == raw[p + n]:
-            n += 1
-        return n, p - at
-
-    def enter(p: int) -> None:
-        last[raw[p : p + 3]] = p
-
-    out, p = [], 0
-    while p < len(raw):
-        n, d = match(p)
-        enter(p)
-        if n and p + 1 < len(raw) and match(p + 1)[0] > n:
-            n = 0
-        if not n:
-            out.append((0, raw[p]))
-            p += 1
-            continue
-        out.append((n, d))
-        for q in range(p + 1, p + n):
-            enter(q)
-        p += n
-    return out
+    lengths, distances, _ = _tokens([raw], window)
+    return list(zip(lengths.tolist(), distances.tolist()))
 
 
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("length", T.IntegerType()), T.StructField("distance", T.IntegerType())])))
-def tokens_of(values: pa.Array) -> pa.Array:
-    return pa.array([[{"length": n, "distance": d} for n, d in tokenize(v)] for v in values.to_pylist()], pa.list_(pa.struct([("length", pa.int32()), ("distance", pa.int32())])))
+def tokens_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for values in batches:
+        if not len(values):
+            yield pa.array([], pa.list_(pa.struct([("length", pa.int32()), ("distance", pa.int32())])))
+        for part in _parts(values):
+            lengths, distances, starts = _tokens(part.to_pylist())
+            pairs = pa.StructArray.from_arrays([pa.array(lengths), pa.array(distances)], ["length", "distance"])
+            yield pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs, mask=part.is_null())
 
 
 @F.arrow_udf(T.BinaryType())
-def replay(tokens: pa.Array) -> pa.Array:
+def replay(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """The bytes that tokens stand for; copies may overlap themselves."""
-    out = []
-    for row in tokens.to_pylist():
-        data = bytearray()
-        for t in row:
-            if not t["length"]:
-                data.append(t["distance"])
-                continue
-            for _ in range(t["length"]):
-                data.append(data[-t["distance"]])
-        out.append(bytes(data))
-    return pa.array(out, pa.binary())
+    for tokens in batches:
+        if not len(tokens):
+            yield pa.array([], pa.binary())
+        counts = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _slices(counts):
+            flat = tokens.slice(a, b - a).flatten()
+            lengths, distances = (pc.struct_field(flat, [i]).to_pylist() for i in (0, 1))
+            starts = np.cumsum([0, *counts[a:b]]).tolist()
+            out = [None if null else _replayed(lengths[i:j], distances[i:j]) for i, j, null in zip(starts, starts[1:], tokens.slice(a, b - a).is_null().to_pylist())]
+            yield pa.array(out, pa.binary())
+
+
+@F.arrow_udf(T.BinaryType())
+def reconstructed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """replay of tokens_of; tokens stay within the slice that they are made and replayed in."""
+    for values in batches:
+        if not len(values):
+            yield pa.array([], pa.binary())
+        for part in _parts(values):
+            raws = part.to_pylist()
+            lengths, distances, starts = _tokens(raws)
+            lengths, distances, starts = lengths.tolist(), distances.tolist(), starts.tolist()
+            yield pa.array([None if r is None else _replayed(lengths[i:j], distances[i:j]) for r, i, j in zip(raws, starts, starts[1:])], pa.binary())
 
 
 def symbol_counts(tokens: DataFrame, key: str) -> DataFrame:

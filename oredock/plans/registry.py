@@ -308,7 +308,7 @@ SELECT doc_id || ':' || k AS chunk_id, md5(substr(h, k * {2 * CHUNK} + 1, {2 * C
 @query(_CHUNK_SQL)
 def w8_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Look-ahead token selection, replayed."""
-    rows = _chunked(spark, sf_dir).select("chunk_id", lz77.replay(lz77.tokens_of("raw")).alias("raw"))
+    rows = _chunked(spark, sf_dir).select("chunk_id", lz77.reconstructed("raw").alias("raw"))
     return rows.select("chunk_id", F.md5(F.hex("raw").cast("binary")).alias("hex_md5"))
 
 

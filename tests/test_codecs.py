@@ -1,8 +1,11 @@
 import bz2
 import gzip
 import lzma
+import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 import zstandard
 from hypothesis import given
@@ -193,3 +196,56 @@ def test_own_codec(spark):
     codecs.register("turned", lambda raw, level: raw[::-1], lambda data: data[::-1])
     got = {r.stream_id: bytes(r.raw) for r in chunks.round_trip(frame(spark), "turned", 100).collect()}
     assert got == dict(enumerate(STREAMS))
+
+
+def plain_tokens(raw, window):
+    last, out, p = {}, [], 0
+
+    def match(p):
+        at = last.get(raw[p : p + 3], -1)
+        if at < 0 or p - at > window or p + 3 > len(raw):
+            return 0, 0
+        n = 3
+        while n < min(258, len(raw) - p) and raw[at + n] == raw[p + n]:
+            n += 1
+        return n, p - at
+
+    while p < len(raw):
+        n, d = match(p)
+        last[raw[p : p + 3]] = p
+        if not n or match(p + 1)[0] > n:
+            n, d = 0, raw[p]
+        for q in range(p + 1, p + n):
+            last[raw[q : q + 3]] = q
+        out.append((n, d))
+        p += max(n, 1)
+    return out
+
+
+@given(st.lists(st.binary(max_size=40) | st.text("ab", max_size=600).map(str.encode), max_size=4), st.sampled_from([1, 3, 40, 32768]))
+def test_tokens_of_many_rows_are_those_of_each(raws, window):
+    lengths, distances, starts = lz77._tokens(raws, window)
+    pairs = list(zip(lengths.tolist(), distances.tolist()))
+    assert [pairs[a:b] for a, b in zip(starts, starts[1:])] == [plain_tokens(r, window) for r in raws]
+
+
+def test_tokens_and_replay_keep_rows_and_nulls(spark):
+    rows = frame(spark).union(spark.createDataFrame([(99, None)], "stream_id long, raw binary"))
+    tokens = rows.select("stream_id", "raw", lz77.tokens_of("raw").alias("t"), lz77.reconstructed("raw").alias("whole"))
+    for r in tokens.withColumn("again", lz77.replay("t")).collect():
+        assert r.whole == r.raw and r.again == r.raw
+        assert (r.t and [tuple(x) for x in r.t]) == (None if r.raw is None else plain_tokens(bytes(r.raw), 32768))
+
+
+@pytest.mark.parametrize("name", ["tokens_of", "replay", "reconstructed"])
+def test_memory_of_a_batch_of_tokens(name):
+    """400 chunks without a match: a million tokens and more, which must not be objects all at once."""
+    rng = random.Random(1)
+    batch = pa.array([rng.randbytes(4096) for _ in range(400)])
+    if name == "replay":
+        batch = pa.concat_arrays(list(lz77.tokens_of.func(iter([batch]))))
+    tracemalloc.start()
+    rows = sum(len(part) for part in getattr(lz77, name).func(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert rows == 400 and peak < 100
