@@ -16,6 +16,18 @@ from oredock.operators import entropy
 MIN_MATCH, MAX_MATCH, WINDOW = 3, 258, 32768
 #: Bytes, or tokens, that the functions on whole batches work on at once.
 SLICE = 1 << 18
+_LENGTH_BASE, _LENGTH_EXTRA = np.array(entropy.LENGTH_BASE), np.array(entropy.LENGTH_EXTRA)
+_DISTANCE_BASE, _DISTANCE_EXTRA = np.array(entropy.DISTANCE_BASE), np.array(entropy.DISTANCE_EXTRA)
+
+
+def _turned(code: int, bits: int) -> int:
+    return int(f"{code:0{bits}b}"[::-1], 2)
+
+
+#: Codes of the fixed code, first bit lowest, and their bits: of literal and length symbols, then of distance symbols (5 bits).
+_FIXED_BITS = np.array([8] * 144 + [9] * 112 + [7] * 24 + [8] * 8)
+_FIXED = np.array([_turned(c, n) for c, n in zip([*range(48, 192), *range(400, 512), *range(24), *range(192, 200)], _FIXED_BITS.tolist())])
+_FAR = np.array([_turned(c, 5) for c in range(30)])
 
 
 def hash3(a: Column, b: Column, c: Column) -> Column:
@@ -163,36 +175,77 @@ def symbol_counts(tokens: DataFrame, key: str) -> DataFrame:
     return lengths.unionByName(literals).unionByName(ends).unionByName(distances).groupBy(key, "alphabet", "symbol").agg(F.count("*").alias("freq"))
 
 
-def block_writes(tokens: DataFrame) -> DataFrame:
-    """chunk_id, i, value and n_bits: each token of tokens(chunk_id, i, length, distance) as one write in the fixed code.
+def _writes(lengths: np.ndarray, distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Value and number of bits of each token as one write of at most 31 bits in the fixed code.
 
     A token's bits are its length or literal code, length's extra bits, distance code and distance's extra bits.
     """
-    with_length = entropy.with_symbol(tokens.withColumn("value_of", F.when(F.col("length") > 0, F.col("length"))), "value_of", "length")
-    with_length = with_length.select("chunk_id", "i", "length", "distance", F.coalesce("symbol", "distance").alias("s"), F.coalesce("extra", F.lit(0)).alias("x"), F.coalesce("extra_value", F.lit(0)).alias("xv"), F.when(F.col("length") > 0, F.col("distance")).alias("d"))
-    both = entropy.with_symbol(with_length, "d", "distance")
-    code, bits = entropy.fixed_code(F.col("s"))
-    head = entropy.reverse_bits(code, bits)
-    far = F.when(F.col("length") > 0, entropy.reverse_bits(F.col("symbol"), F.lit(5))).otherwise(0)
-    at_extra, at_far = bits, bits + F.col("x")
-    at_last = at_far + 5
-    shift = lambda v, n: F.call_function("shiftleft", v.cast("long"), n.cast("int"))
-    value = head.bitwiseOR(shift(F.col("xv"), at_extra)).bitwiseOR(F.when(F.col("length") > 0, shift(far, at_far).bitwiseOR(shift(F.col("extra_value"), at_last))).otherwise(0))
-    total = bits + F.col("x") + F.when(F.col("length") > 0, 5 + F.col("extra")).otherwise(0)
-    return both.select("chunk_id", "i", value.alias("value"), total.alias("n_bits"))
+    copy = lengths > 0
+    if not np.where(copy, (lengths >= MIN_MATCH) & (lengths <= MAX_MATCH) & (distances >= 1) & (distances <= WINDOW), (lengths == 0) & (distances >= 0) & (distances < 256)).all():
+        raise ValueError("a token is a byte, or a length of 3 to 258 and a distance of 1 to 32768")
+    n, d = np.where(copy, lengths, MIN_MATCH), np.where(copy, distances, 1)
+    of_length, of_distance = np.searchsorted(_LENGTH_BASE, n, "right") - 1, np.searchsorted(_DISTANCE_BASE, d, "right") - 1
+    symbol = np.where(copy, 257 + of_length, distances)
+    value, bits = _FIXED[symbol], _FIXED_BITS[symbol]
+    value = value | np.where(copy, n - _LENGTH_BASE[of_length], 0) << bits
+    bits = bits + np.where(copy, _LENGTH_EXTRA[of_length], 0)
+    value |= np.where(copy, _FAR[of_distance], 0) << bits
+    bits = bits + 5 * copy
+    value |= np.where(copy, d - _DISTANCE_BASE[of_distance], 0) << bits
+    return value, bits + np.where(copy, _DISTANCE_EXTRA[of_distance], 0)
+
+
+def _blocks(lengths: np.ndarray, distances: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """One final DEFLATE block for the tokens of each row, and its bits: running sums place the writes, ORs make 32-bit words."""
+    rows, counts = len(starts) - 1, np.diff(starts)
+    row = np.repeat(np.arange(rows), counts)
+    # a row's writes: 3 bits of header, its tokens, 7 bits of end
+    head, end = starts[:-1] + 2 * np.arange(rows), starts[1:] + 2 * np.arange(rows) + 1
+    value, bits = np.zeros(len(row) + 2 * rows, np.int64), np.zeros(len(row) + 2 * rows, np.int64)
+    value[head], bits[head], bits[end] = 3, 3, 7
+    place = np.arange(len(row)) + 2 * row + 1
+    value[place], bits[place] = _writes(lengths.astype(np.int64), distances.astype(np.int64))
+    before = np.cumsum(bits) - bits
+    total = before[end] + bits[end] - before[head]
+    # each row begins with a word of its own
+    words = (total + 31) // 32
+    first = np.cumsum(words) - words
+    offset = before + np.repeat(first * 32 - before[head], counts + 2)
+    shifted, word = value << offset % 32, offset // 32
+    out = np.zeros(words.sum() + 1, np.int64)
+    each = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[each]] = np.bitwise_or.reduceat(shifted & 0xFFFFFFFF, each)
+    out[word[each] + 1] |= np.bitwise_or.reduceat(shifted >> 32, each)
+    data = out.astype("<u4").tobytes()
+    return [data[4 * a : 4 * a + (n + 7) // 8] for a, n in zip(first.tolist(), total.tolist())], total
+
+
+@F.arrow_udf(T.BinaryType())
+def deflated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each chunk as one final DEFLATE block in the fixed code."""
+    for values in batches:
+        if not len(values):
+            yield pa.array([], pa.binary())
+        for part in _parts(values):
+            blocks, _ = _blocks(*_tokens(part.to_pylist()))
+            yield pa.array([None if null else b for b, null in zip(blocks, part.is_null().to_pylist())], pa.binary())
+
+
+@F.arrow_udf(T.StructType([T.StructField("block", T.BinaryType()), T.StructField("bits", T.LongType())]))
+def blocks_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The final DEFLATE block that lists of tokens (length, distance) make, and its bits."""
+    for tokens in batches:
+        if not len(tokens):
+            yield pa.array([], pa.struct([("block", pa.binary()), ("bits", pa.int64())]))
+        counts = pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _slices(counts):
+            flat = tokens.slice(a, b - a).flatten()
+            blocks, bits = _blocks(*(pc.struct_field(flat, [i]).to_numpy(zero_copy_only=False) for i in (0, 1)), np.cumsum([0, *counts[a:b]]))
+            yield pa.StructArray.from_arrays([pa.array(blocks, pa.binary()), pa.array(bits, pa.int64())], ["block", "bits"])
 
 
 def deflate_blocks(tokens: DataFrame) -> DataFrame:
-    """chunk_id and one final DEFLATE block per chunk, placed bit by bit with a window and grouped ORs."""
-    writes = block_writes(tokens)
-    start = tokens.select("chunk_id").distinct().select("chunk_id", F.lit(-1).alias("i"), F.lit(3).cast("long").alias("value"), F.lit(3).alias("n_bits"))
-    end = tokens.groupBy("chunk_id").agg((F.max("i") + 1).alias("i")).select("chunk_id", "i", F.lit(0).cast("long").alias("value"), F.lit(7).alias("n_bits"))
-    # a write of more than 32 bits is two
-    wide = writes.unionByName(start).unionByName(end).select("chunk_id", F.col("i").cast("long").alias("i"), F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("value").bitwiseAND(F.lit(0xFFFFFF)).alias("value"), F.least(F.col("n_bits"), F.lit(24)).alias("n_bits")), F.struct(F.lit(1).alias("k"), F.shiftrightunsigned("value", 24).alias("value"), F.greatest(F.col("n_bits") - 24, F.lit(0)).alias("n_bits")))).alias("w"))
-    ordered = wide.select("chunk_id", (F.col("i") * 2 + F.col("w.k")).alias("at"), "w.value", "w.n_bits").filter("n_bits > 0")
-    words = entropy.bit_words(entropy.bit_offsets(ordered, "chunk_id", "at"), "chunk_id")
-    size = ordered.groupBy("chunk_id").agg(F.sum("n_bits").alias("bits"))
-    little = F.transform(F.array_sort(F.collect_list(F.struct("word", "value"))), lambda x: F.reverse(F.lpad(F.hex(x["value"]), 8, "0")))
-    swapped = F.regexp_replace(F.array_join(little, ""), "(.)(.)", "$2$1")
-    joined = words.groupBy("chunk_id").agg(swapped.alias("digits")).join(size, "chunk_id")
-    return joined.select("chunk_id", F.unhex(F.substr("digits", F.lit(1), F.ceil(F.col("bits") / 8) * 2)).alias("block"), "bits")
+    """chunk_id, block and bits: one final DEFLATE block per chunk of tokens(chunk_id, i, length, distance), gathered in one shuffle."""
+    ordered = F.array_sort(F.collect_list(F.struct("i", "length", "distance")))
+    pairs = F.transform(ordered, lambda t: F.struct(t["length"].cast("int").alias("length"), t["distance"].cast("int").alias("distance")))
+    return tokens.groupBy("chunk_id").agg(pairs.alias("tokens")).select("chunk_id", blocks_of("tokens").alias("b")).select("chunk_id", "b.block", "b.bits")

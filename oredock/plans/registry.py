@@ -314,8 +314,8 @@ def w8_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_CHUNK_SQL)
 def c10_deflate_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens, symbol joins, code words, a window for offsets and grouped ORs make blocks that zlib inflates."""
-    blocks = lz77.deflate_blocks(kept(_tokens(spark, sf_dir)))
+    """Tokens, symbols, code words, running sums for offsets and ORs by word make blocks that zlib inflates."""
+    blocks = _chunked(spark, sf_dir).select("chunk_id", lz77.deflated("raw").alias("block"))
     return blocks.select("chunk_id", F.md5(F.hex(codecs.decode("deflate", F.col("block"))).cast("binary")).alias("hex_md5"))
 
 

@@ -249,3 +249,31 @@ def test_memory_of_a_batch_of_tokens(name):
     peak = tracemalloc.get_traced_memory()[1] / 1e6
     tracemalloc.stop()
     assert rows == 400 and peak < 100
+
+
+def test_deflated_chunks_of_any_kind(spark):
+    noise = random.Random(3).randbytes(32768)
+    raws = [*STREAMS, None, noise + noise[:300], b"".join(bytes([i, 255 - i]) * 200 for i in range(256))]
+    rows = spark.createDataFrame([(i, r if r is None else bytearray(r)) for i, r in enumerate(raws)], "chunk_id long, raw binary")
+    blocks = {r.chunk_id: r.b for r in rows.select("chunk_id", lz77.deflated("raw").alias("b")).collect()}
+    assert {i: b if b is None else zlib.decompress(bytes(b), -15) for i, b in blocks.items()} == dict(enumerate(raws))
+
+
+def test_deflate_block_needs_no_rows_of_tokens(spark):
+    """Work on a chunk stays on its row: no token is written, shuffled or sorted as a row of its own."""
+    plan = registry.QUERIES["c10_deflate_block"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "spark-", "table-"))
+
+
+def test_blocks_are_the_words_of_windows_and_ors(spark):
+    """Bits of array functions, and those that a window and grouped ORs place."""
+    lengths, distances, starts = lz77._tokens([STREAMS[5]])
+    value, bits = lz77._writes(lengths.astype("int64"), distances.astype("int64"))
+    writes = [(3, 3), *zip(value.tolist(), bits.tolist()), (0, 7)]
+    rows = spark.createDataFrame([(1, i, v, n) for i, (v, n) in enumerate(writes)], "k int, i int, value long, n_bits int")
+    words = {r.word: r.value for r in entropy.bit_words(entropy.bit_offsets(rows, "k", "i"), "k").collect()}
+    (block,), (total,) = lz77._blocks(lengths, distances, starts)
+    assert total == sum(n for _, n in writes)
+    assert b"".join((words[w] & 0xFFFFFFFF).to_bytes(4, "little") for w in range((total + 31) // 32))[: len(block)] == block
+    with pytest.raises(ValueError):
+        lz77._blocks(lengths[:1] + 2, distances[:1] * 0, starts[:2] * 0 + [0, 1])
