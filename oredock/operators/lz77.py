@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,21 +30,6 @@ _FIXED = np.array([_turned(c, n) for c, n in zip([*range(48, 192), *range(400, 5
 _FAR = np.array([_turned(c, 5) for c in range(30)])
 
 
-def hash3(a: Column, b: Column, c: Column) -> Column:
-    """16 bits from three bytes, by multiplication with 0x9E3779B1 modulo 2^32."""
-    value = a.cast("long") * 65536 + b * 256 + c
-    return F.shiftright((value * F.lit(2654435761)).bitwiseAND(F.lit(0xFFFFFFFF)), 16)
-
-
-def segment_table(chunks: DataFrame, segment: int) -> DataFrame:
-    """Per chunk, hash and segment of positions: the oldest and the newest position, and how many."""
-    bytes_at = chunks.select("chunk_id", F.transform(F.regexp_extract_all(F.hex("raw"), F.lit(".."), F.lit(0)), lambda p: F.conv(p, 16, 10).cast("int")).alias("b"))
-    rows = bytes_at.filter(F.size("b") >= 3).select("chunk_id", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 3)).alias("p"))
-    hashed = rows.select("chunk_id", "p", hash3(F.get("b", F.col("p")), F.get("b", F.col("p") + 1), F.get("b", F.col("p") + 2)).alias("hash"))
-    keyed = hashed.withColumn("segment", F.floor(F.col("p") / segment).cast("int"))
-    return keyed.groupBy("chunk_id", "hash", "segment").agg(F.min("p").alias("oldest"), F.max("p").alias("newest"), F.count("*").alias("positions"))
-
-
 def _slices(weights: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows in order, each of about SLICE in weight or of one row."""
     part = (np.cumsum(weights) - weights) // SLICE
@@ -62,6 +47,82 @@ def _joined(raws: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(r or b"" for r in raws), np.uint8), np.cumsum([0, *(len(r or b"") for r in raws)])
 
 
+def hash3(data: np.ndarray) -> np.ndarray:
+    """16 bits from each three bytes in a row, by multiplication with 0x9E3779B1 modulo 2^32."""
+    wide = data.astype(np.uint64)
+    value = wide[:-2] << np.uint64(16) | wide[1:-1] << np.uint64(8) | wide[2:]
+    return (value * np.uint64(2654435761) & np.uint64(0xFFFFFFFF)).astype(np.int64) >> 16
+
+
+def _segment_rows(data: np.ndarray, starts: np.ndarray, segment: int) -> tuple[np.ndarray, ...]:
+    """row, hash, segment, oldest, newest and positions of each hash in each segment of each row."""
+    sizes = np.maximum(np.diff(starts) - 2, 0)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[row]
+    if not len(place):
+        return (place,) * 6
+    # by hash, then place; rows and segments follow from places
+    keys = np.sort(hash3(data)[place] << 47 | np.arange(len(place)))
+    hashed, order = keys >> 47, keys & (1 << 47) - 1
+    row, p = row[order], (place - starts[row])[order]
+    part = p // segment
+    first = np.flatnonzero((np.diff(hashed, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    after = np.append(first[1:], len(p))
+    return row[first], hashed[first], part[first], p[first], p[after - 1], after - first
+
+
+def _merged(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Such rows, with those of one row, hash and segment made one."""
+    order = np.lexsort(rows[2::-1])
+    row, hashed, part, oldest, newest, n = (x[order] for x in rows)
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(hashed, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0))
+    if not len(first):
+        return rows
+    return row[first], hashed[first], part[first], np.minimum.reduceat(oldest, first), np.maximum.reduceat(newest, first), np.add.reduceat(n, first)
+
+
+def segment_table(chunks: DataFrame, segment: int) -> DataFrame:
+    """Per chunk, hash and segment of positions: the oldest and the newest position, and how many.
+
+    Chunks are shuffled, not their positions: those of one id, usually a single one, lie next to each other then, and
+    what they have in common is added up as they pass. The table of the last id is held until another id comes.
+    """
+    if segment < 1:
+        raise ValueError("a segment has a position at least")
+    out = T.StructType([chunks.schema["chunk_id"], *(T.StructField(n, t) for n, t in (("hash", T.LongType()), ("segment", T.IntegerType()), ("oldest", T.IntegerType()), ("newest", T.IntegerType()), ("positions", T.LongType())))])
+
+    def table(ids: pa.Array, rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        columns = [pa.array(x, t) for x, t in zip(rows[1:], (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows[0])), *columns], out.names)
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_id, held = None, None  # ids as an array of one, and its rows
+        for batch in batches:
+            ids, raws = batch.column("chunk_id"), batch.column("raw")
+            weights = pc.binary_length(raws).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for a, b in _slices(weights):
+                names = ids.slice(a, b - a)
+                keys = names.to_pylist()
+                group = np.cumsum([0, *(x != y for x, y in zip(keys, keys[1:]))])
+                rows = _segment_rows(*_joined(raws.slice(a, b - a).to_pylist()), segment)
+                rows = (group[rows[0]], *rows[1:])
+                again = held is not None and held_id[0].as_py() == keys[0]
+                if again:
+                    rows = tuple(np.concatenate(x) for x in zip((np.zeros_like(held[0]), *held[1:]), rows))
+                elif held is not None:
+                    yield table(held_id, held)
+                if again or group[-1] + 1 < len(keys):
+                    rows = _merged(rows)
+                last = rows[0] == group[-1]
+                of_group = names.take(pa.array(np.flatnonzero(np.diff(group, prepend=-1))))
+                yield table(of_group, tuple(x[~last] for x in rows))
+                held_id, held = of_group.slice(len(of_group) - 1), tuple(np.zeros_like(x[last]) if i == 0 else x[last] for i, x in enumerate(rows))
+        if held is not None:
+            yield table(held_id, held)
+
+    return chunks.select("chunk_id", "raw").repartition("chunk_id").sortWithinPartitions("chunk_id").mapInArrow(added, out)
+
+
 def _matches(data: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Length and distance, at each byte, of its match with the latest place before in the row with the same three bytes; 0 for none."""
     size, sizes = len(data), np.diff(starts)

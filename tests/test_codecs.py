@@ -277,3 +277,32 @@ def test_blocks_are_the_words_of_windows_and_ors(spark):
     assert b"".join((words[w] & 0xFFFFFFFF).to_bytes(4, "little") for w in range((total + 31) // 32))[: len(block)] == block
     with pytest.raises(ValueError):
         lz77._blocks(lengths[:1] + 2, distances[:1] * 0, starts[:2] * 0 + [0, 1])
+
+
+def plain_segments(rows, segment):
+    table = {}
+    for k, raw in rows:
+        for p in range(len(raw or b"") - 2):
+            h = (int.from_bytes(raw[p : p + 3], "big") * 2654435761 & 0xFFFFFFFF) >> 16
+            low, high, n = table.get((k, h, p // segment), (p, p, 0))
+            table[k, h, p // segment] = min(low, p), max(high, p), n + 1
+    return table
+
+
+@pytest.mark.parametrize("slice_size", [1, 500, lz77.SLICE])
+def test_segments_of_ids_that_come_again(spark, monkeypatch, slice_size):
+    """Chunks of one id, of null too, share their table, wherever slices and batches end."""
+    monkeypatch.setattr(lz77, "SLICE", slice_size)
+    rng = random.Random(2)
+    rows = [(f"{rng.randrange(40)}:0" if i % 9 else None, rng.choice([*STREAMS, None, bytes(rng.choices(b"ab", k=50))])) for i in range(300)]
+    chunked = spark.createDataFrame([(k, r if r is None else bytearray(r)) for k, r in rows], "chunk_id string, raw binary")
+    got = lz77.segment_table(chunked.repartition(5), 100).collect()
+    assert {(r.chunk_id, r.hash, r.segment): (r.oldest, r.newest, r.positions) for r in got} == plain_segments(rows, 100)
+    assert len(got) == len({(r.chunk_id, r.hash, r.segment) for r in got})
+
+
+def test_segment_table_shuffles_chunks_only(spark):
+    """One shuffle, of chunks and before their positions are looked at."""
+    plan = registry.QUERIES["a4_segment_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    assert plan.index("MapInArrow") < plan.index("Exchange")
