@@ -306,3 +306,15 @@ def test_segment_table_shuffles_chunks_only(spark):
     plan = registry.QUERIES["a4_segment_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Aggregate" not in plan
     assert plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_memory_of_tokens_does_not_follow_the_batch():
+    """Four times the chunks in a batch, as larger tables have, need no more memory at once."""
+    rng, peaks = random.Random(4), []
+    for n in (150, 600):
+        batch = pa.array([rng.randbytes(4096) for _ in range(n)])
+        tracemalloc.start()
+        assert sum(len(part) for part in lz77.tokens_of.func(iter([batch]))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
