@@ -236,6 +236,36 @@ def symbol_counts(tokens: DataFrame, key: str) -> DataFrame:
     return lengths.unionByName(literals).unionByName(ends).unionByName(distances).groupBy(key, "alphabet", "symbol").agg(F.count("*").alias("freq"))
 
 
+def _counts(lengths: np.ndarray, distances: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, alphabet (0 literal, 1 distance), symbol and frequency, in this order, of what the tokens of each row use; the end of the block counts once a row."""
+    rows = len(starts) - 1
+    row, copy = np.repeat(np.arange(rows), np.diff(starts)), lengths > 0
+    symbol = np.where(copy, 256 + np.searchsorted(_LENGTH_BASE, lengths, "right"), distances)
+    far = np.searchsorted(_DISTANCE_BASE, distances[copy], "right") - 1
+    keys, freq = np.unique(np.concatenate([row << 10 | symbol, np.arange(rows) << 10 | 256, row[copy] << 10 | 512 | far]), return_counts=True)
+    return keys >> 10, keys >> 9 & 1, keys & 511, freq
+
+
+_SYMBOL = T.StructType([T.StructField("alphabet", T.StringType()), T.StructField("symbol", T.IntegerType()), T.StructField("freq", T.LongType())])
+
+
+@F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("symbols", T.ArrayType(_SYMBOL))]))
+def symbols_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """How many tokens each chunk has, how many of them are copies, and symbol_counts of them; tokens stay within their slice."""
+    alphabets = pa.array(["literal", "distance"])
+    each = pa.struct([("alphabet", pa.string()), ("symbol", pa.int32()), ("freq", pa.int64())])
+    for values in batches:
+        if not len(values):
+            yield pa.array([], pa.struct([("tokens", pa.int64()), ("copies", pa.int64()), ("symbols", pa.list_(each))]))
+        for part in _parts(values):
+            lengths, distances, starts = _tokens(part.to_pylist())
+            row, alphabet, symbol, freq = _counts(lengths, distances, starts)
+            used = pa.StructArray.from_arrays([alphabets.take(pa.array(alphabet)), pa.array(symbol, pa.int32()), pa.array(freq, pa.int64())], fields=list(each))
+            symbols = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(starts))), pa.int32()), used)
+            copies = np.diff(np.cumsum([0, *(lengths > 0)])[starts])
+            yield pa.StructArray.from_arrays([pa.array(np.diff(starts), pa.int64()), pa.array(copies, pa.int64()), symbols], ["tokens", "copies", "symbols"], mask=part.is_null())
+
+
 def _writes(lengths: np.ndarray, distances: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Value and number of bits of each token as one write of at most 31 bits in the fixed code.
 

@@ -294,10 +294,6 @@ def a4_segment_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz77.segment_table(_chunked(spark, sf_dir), 1024)
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunked(spark, sf_dir).select("chunk_id", F.posexplode(lz77.tokens_of("raw")).alias("i", "t")).select("chunk_id", "i", "t.length", "t.distance")
-
-
 _CHUNK_SQL = f"""
 WITH s AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT doc_id, unnest(range(0, (length(h) + {2 * CHUNK - 1}) // {2 * CHUNK})) AS k, h FROM s)
@@ -322,10 +318,10 @@ def c10_deflate_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT count(*) AS chunks, true AS complete FROM (SELECT unnest(range(0, (octet_length(encode(coalesce(text, ''))) + 4095) // 4096)) FROM documents)")
 def a1_symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every token of a chunk is one literal or length symbol, and the end of the block one more."""
-    tokens = kept(_tokens(spark, sf_dir))
-    counts = lz77.symbol_counts(tokens, "chunk_id").groupBy("chunk_id").agg(F.sum(F.when(F.col("alphabet") == "literal", F.col("freq"))).alias("n"), F.coalesce(F.sum(F.when(F.col("alphabet") == "distance", F.col("freq"))), F.lit(0)).alias("d"))
-    whole = tokens.groupBy("chunk_id").agg(F.count("*").alias("tokens"), F.count_if(F.col("length") > 0).alias("copies"))
-    return counts.join(whole, "chunk_id").agg(F.count("*").alias("chunks"), F.every((F.col("n") == F.col("tokens") + 1) & (F.col("d") == F.col("copies"))).alias("complete"))
+    chunk = _chunked(spark, sf_dir).select(lz77.symbols_of("raw").alias("c")).select("c.tokens", "c.copies", "c.symbols")
+    used = lambda alphabet: F.aggregate(F.filter("symbols", lambda x: x["alphabet"] == alphabet), F.lit(0).cast("long"), lambda n, x: n + x["freq"])
+    right = (used("literal") == F.col("tokens") + 1) & (used("distance") == F.col("copies"))
+    return chunk.agg(F.count("*").alias("chunks"), F.coalesce(F.every(right), F.lit(True)).alias("complete"))
 
 
 @query("SELECT source, floor(median(n_chars))::BIGINT AS median FROM documents GROUP BY source")

@@ -5,6 +5,7 @@ import random
 import tracemalloc
 import zlib
 
+import duckdb
 import pyarrow as pa
 import pytest
 import zstandard
@@ -318,3 +319,48 @@ def test_memory_of_tokens_does_not_follow_the_batch():
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0]
+
+
+@pytest.mark.parametrize("slice_size", [1, 3000, lz77.SLICE])
+def test_symbols_of_chunks_are_those_of_rows_of_tokens(spark, monkeypatch, slice_size):
+    monkeypatch.setattr(lz77, "SLICE", slice_size)
+    noise = random.Random(5).randbytes(20000)
+    # matches of every length, and far ones
+    raws = [*STREAMS, None, noise + noise[:300], b"".join(noise[n : n + n] + bytes([n % 256]) for n in range(3, 260)) + noise[:520]]
+    rows = spark.createDataFrame([(i, r if r is None else bytearray(r)) for i, r in enumerate(raws)], "chunk_id long, raw binary").repartition(2)
+    tokens = rows.select("chunk_id", F.explode(lz77.tokens_of("raw")).alias("t")).select("chunk_id", "t.length", "t.distance").localCheckpoint()
+    want = {(r.chunk_id, r.alphabet, r.symbol): r.freq for r in lz77.symbol_counts(tokens, "chunk_id").collect()} | {(0, "literal", 256): 1}
+    got = {r.chunk_id: r.c for r in rows.select("chunk_id", lz77.symbols_of("raw").alias("c")).collect()}
+    assert got.pop(len(STREAMS)) is None
+    assert {(k, x.alphabet, x.symbol): x.freq for k, c in got.items() for x in c.symbols} == want
+    assert sum(len(c.symbols) for c in got.values()) == len(want)
+    many = {r.chunk_id: (r.n, r.copies) for r in tokens.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if(F.col("length") > 0).alias("copies")).collect()} | {0: (0, 0)}
+    assert {k: (c.tokens, c.copies) for k, c in got.items()} == many
+
+
+def test_symbol_counts_need_no_rows_of_tokens(spark):
+    """Counts are made on a chunk's row: nothing is written, and only the counts of the whole are shuffled."""
+    plan = registry.QUERIES["a1_symbol_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("ArrowEvalPython") == 1 and "table-" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("ids", [[], [1, 1, 2, None, None, 3]])
+def test_symbol_counts_of_ids_that_come_again(spark, tmp_path, ids):
+    """Chunks are counted row by row, like the SQL does; without any, none is wrong."""
+    rows = [(k, t) for k, t in zip(ids, ["a" * 5000, "b" * 5000, "", "c", "d", None])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert [tuple(r) for r in registry.QUERIES["a1_symbol_counts"](spark, str(tmp_path)).collect()] == con.sql(registry.SQL["a1_symbol_counts"]).fetchall()
+
+
+def test_memory_of_symbols_does_not_follow_the_batch():
+    """Four times the chunks in a batch, and a batch of chunks of a byte, need no more memory at once."""
+    rng, peaks = random.Random(6), []
+    for n, size in ((150, 4096), (600, 4096), (10000, 1)):
+        batch = pa.array([rng.randbytes(size) for _ in range(n)])
+        tracemalloc.start()
+        assert sum(len(part) for part in lz77.symbols_of.func(iter([batch]))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 1.5 * peaks[0]
